@@ -4,14 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_folder
 from ..sources.artefacts import read_table
-from . import delivery_dedup
+from . import byte_bpe, delivery_dedup, mixing
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivery_dedup.repeated_deliveries(read_table(spark, sf_dir, "raw_artefacts"))
 
 
-QUERIES = {"p1_found": p1_found}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_texts(read_table(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {}
+
+def p8_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again."""
+    return byte_bpe.decode_ids(byte_bpe.encode_texts(read_table(spark, sf_dir, "documents")))
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    shared_folder(spark)
+    sizes = mixing.measured(read_table(spark, sf_dir, "documents"))
+    allotted = mixing.allotments(sizes, read_table(spark, sf_dir, "mix_targets"))
+    return mixing.mix(sizes, allotted), allotted
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(*_mixture(spark, sf_dir))
+
+
+QUERIES = {"p1_found": p1_found, "p8_ids": p8_ids, "p8_texts": p8_texts, "p9_mix": p9_mix, "p9_shares": p9_shares}
+
+ORACLES: dict[str, str] = {
+    "p8_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}
