@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_folder
 from ..sources.artefacts import read_table
-from . import byte_bpe, delivery_dedup, mixing
+from . import byte_bpe, canonical, delivery_dedup, mixing
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivery_dedup.repeated_deliveries(read_table(spark, sf_dir, "raw_artefacts"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared_folder(spark)
+    return canonical.meant_merchants(*(read_table(spark, sf_dir, t) for t in ("planted_events", "worklist_groups", "canon_merchants")))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_texts(read_table(spark, sf_dir, "documents"))
 
@@ -37,7 +42,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mixture(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p8_ids": p8_ids, "p8_texts": p8_texts, "p9_mix": p9_mix, "p9_shares": p9_shares}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p8_ids": p8_ids, "p8_texts": p8_texts, "p9_mix": p9_mix, "p9_shares": p9_shares}
 
 ORACLES: dict[str, str] = {
     "p8_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
