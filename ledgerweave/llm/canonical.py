@@ -92,6 +92,7 @@ def trade_of(word: str, trades: list[str]) -> dict[str, float]:
 
 
 def _break(trades: list[str]):
+    initials, longest = {t[0] for t in trades}, max(map(len, trades), default=0) + 2
     known: dict[str, dict[str, float]] = {}
 
     def trades_of(word: str) -> dict[str, float]:
@@ -124,9 +125,10 @@ def _break(trades: list[str]):
                         tail, head = body[k:], body[:k]
                         tail = tail[4:] if tail.startswith("sons") and len(tail) > 6 else tail
                         tail = tail[:-2] if tail.endswith("co") and len(tail) > 6 else tail
-                        for trade, sim in trades_of(tail).items() if len(tail) >= 3 else ():
-                            if sim >= 0.85:
-                                keep(head, trade, 1)
+                        if len(tail) >= 3 and (tail[0] in initials) and len(tail) <= longest:
+                            for trade, sim in trades_of(tail).items():
+                                if sim >= 0.85:
+                                    keep(head, trade, 1)
                     for end in ("sons", "co", "ltd", "plc"):
                         if body.endswith(end) and len(body) > len(end) + 3:
                             keep(body[: -len(end)], None, 1)

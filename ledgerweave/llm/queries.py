@@ -6,13 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_folder
 from ..sources.artefacts import read_table
-from . import byte_bpe, canonical, delivery_dedup, mixing
+from . import byte_bpe, canonical, delivery_dedup, linkage, mixing
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivery_dedup.repeated_deliveries(read_table(spark, sf_dir, "raw_artefacts"))
 
 
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared_folder(spark)
+    return linkage.link(*(read_table(spark, sf_dir, t) for t in ("statement_rows", "transactions", "declared_accounts")))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_links(spark, sf_dir).select("row_id", "entity_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared_folder(spark)
     return canonical.meant_merchants(*(read_table(spark, sf_dir, t) for t in ("planted_events", "worklist_groups", "canon_merchants")))
@@ -42,7 +51,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mixture(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p8_ids": p8_ids, "p8_texts": p8_texts, "p9_mix": p9_mix, "p9_shares": p9_shares}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_links": p2_links, "p3_found": p3_found, "p8_ids": p8_ids, "p8_texts": p8_texts, "p9_mix": p9_mix, "p9_shares": p9_shares}
 
 ORACLES: dict[str, str] = {
     "p8_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
