@@ -1,7 +1,7 @@
 """Linking statement lines to booked payments without a shared identifier, by a label model over heuristic votes.
 
-Lines and payments meet in blocks of (account, amount, week) and, where the printed amount is off, of (account, name prefix, week); weeks
-bound a block whatever an account's size. Matching functions vote on every candidate. Votes collapse to distinct vote vectors (bounded by
+Lines and payments meet in blocks of account, fortnight and amount bucket; where the printed amount is off they must share the beginning
+of a word. Matching functions vote on every candidate. Votes collapse to distinct vote vectors (bounded by
 the number of possible vectors, not by the data); on their counts a two-class generative model learns by expectation-maximisation how
 often each function votes which way on matches and on others, joining functions that stay dependent within a class into one factor.
 The posterior is the confidence. Pairs that are each other's best are linked, round by round, until none is left.
@@ -88,7 +88,7 @@ def statement_lines(statements: DataFrame, accounts: DataFrame, payments: DataFr
     )
     by_name = printed_accounts(rows, accounts)
     rest = rows.join(by_name, "statement_id", "left_anti").where("statement_id IS NOT NULL")
-    owner = by_name.unionByName(met_accounts(rest, payments))
+    owner = by_name if rest.isEmpty() else by_name.unionByName(met_accounts(rest, payments))
     order = Window.partitionBy("statement_id").orderBy("page_no", "line_no", "row_id")
     dated = rows.withColumn("_before", F.last("value_date", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
     dated = dated.withColumn("_after", F.first("value_date", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
@@ -103,50 +103,62 @@ def statement_lines(statements: DataFrame, accounts: DataFrame, payments: DataFr
 
 
 def booked_payments(transactions: DataFrame) -> DataFrame:
-    """Distinct booked payments, one row per entity."""
+    """Booked payments."""
     return (
         transactions.where("lower(trim(status)) = 'booked' AND entity_id IS NOT NULL AND account_id IS NOT NULL AND amount_minor IS NOT NULL")
         .withColumn("booked", F.coalesce("booking_date", "value_date"))
         .where("booked IS NOT NULL")
         .select("entity_id", "account_id", F.col("amount_minor").alias("t_amount"), "booked", F.coalesce("value_date", "booked").alias("valued"), "description", "counterparty")
-        .dropDuplicates(["entity_id"])
-    )
+    )  # repeated rows fall together as pairs
 
 
-def _weeks(days: Sequence[tuple[Column, Column]]) -> Column:
-    """The weeks that spans of days touch."""
-    week = lambda d: F.floor(F.unix_date(d) / 7)
+def _fortnights(days: Sequence[tuple[Column, Column]]) -> Column:
+    """The fortnights that spans of days touch."""
+    week = lambda d: F.floor(F.unix_date(d) / 14)
     empty = F.array().cast("array<bigint>")
     return F.array_distinct(F.flatten(F.array(*[F.coalesce(F.sequence(week(a), week(b)), empty) for a, b in days])))
 
 
+def _log_bucket(amount: Column, factor: float = 1.0) -> Column:
+    return F.floor(F.log(F.greatest(F.abs(amount), F.lit(1)) * F.lit(factor)) / F.lit(0.2))
+
+
 def candidates(lines: DataFrame, payments: DataFrame) -> DataFrame:
-    """Pairs of a line and a payment that share a block and lie within reach, with what the voters need."""
+    """Pairs of a line (or its decoy) and a payment of one account that lie within reach, with what the voters need.
+
+    A block is an account, a fortnight and a bucket of the logarithm of the amount; a line looks into the one or two buckets and the few
+    fortnights that its tolerance touches, a payment lies in one. Off amounts need a common beginning of a word.
+    """
     spans = [(F.date_sub("low", REACH), F.date_add("high", REACH)), (F.date_sub("swap", REACH), F.date_add("swap", REACH))]
-    left = lines.withColumn("_week", F.explode(_weeks(spans)))
-    right = payments.withColumn("_week", F.floor(F.unix_date("booked") / 7)).withColumn("t_words", words(F.col("description"))).withColumn("p_words", words(F.col("counterparty")))
-    right = right.withColumn("t_flat", F.regexp_replace(F.lower(F.coalesce("description", F.lit(""))), "[^a-z]", "")).drop("description", "counterparty")
-    same = left.withColumn("_abs", F.abs("amount")).join(right.withColumn("_abs", F.abs("t_amount")), ["account_id", "_week", "_abs"]).drop("_abs")
-    prefix = lambda ws: F.explode(F.array_distinct(F.transform(F.filter(ws, lambda w: F.length(w) >= 4), lambda w: F.substring(w, 1, 4))))
-    off = left.withColumn("_key", prefix(F.col("r_words"))).join(right.withColumn("_key", prefix(F.array_union("t_words", "p_words"))), ["account_id", "_week", "_key"]).drop("_key")
-    off = off.where(f"abs(amount) <> abs(t_amount) AND abs(abs(amount) - abs(t_amount)) <= greatest(2, {OFF} * abs(t_amount))").dropDuplicates(["row_id", "entity_id"])
+    slim = lines.select("row_id", "decoy", "account_id", "value_date", "amount", "low", "high", "swap")
+    buckets = F.array_distinct(F.array(_log_bucket(F.col("amount"), 1 - 1.1 * OFF), _log_bucket(F.col("amount")), _log_bucket(F.col("amount"), 1 + 1.1 * OFF)))
+    left = slim.withColumn("_time", F.explode(_fortnights(spans))).withColumn("_size", F.explode(buckets))
+    right = payments.withColumn("_time", F.floor(F.unix_date("booked") / 14)).withColumn("_size", _log_bucket(F.col("t_amount")))
+    met = left.join(right, ["account_id", "_time", "_size"]).where(f"abs(abs(amount) - abs(t_amount)) <= greatest(2, {OFF} * abs(t_amount))")
     within = F.expr(f"booked BETWEEN date_sub(low, {REACH}) AND date_add(high, {REACH}) OR booked BETWEEN date_sub(swap, {REACH}) AND date_add(swap, {REACH})")
-    return same.unionByName(off).where(within).drop("_week")
+    met = met.where(within).drop("_time", "_size").dropDuplicates(["row_id", "decoy", "entity_id"])
+    told = met.join(lines.where("NOT decoy").select("row_id", "r_words"), "row_id")
+    told = told.withColumn("t_words", words(F.col("description"))).withColumn("p_words", words(F.col("counterparty")))
+    told = told.withColumn("t_flat", F.regexp_replace(F.lower(F.coalesce("description", F.lit(""))), "[^a-z]", "")).drop("description", "counterparty")
+    begins = lambda ws: F.transform(F.filter(ws, lambda w: F.length(w) >= 4), lambda w: F.substring(w, 1, 4))
+    common = F.arrays_overlap(begins(F.col("r_words")), begins(F.array_union("t_words", "p_words")))
+    return told.where((F.abs("amount") == F.abs("t_amount")) | F.coalesce(common, F.lit(False)))
 
 
-def shifted(lines: DataFrame, days: int = SHIFT) -> DataFrame:
-    """The lines at another time: what they meet there are pairs that are no match, met as often as by chance here."""
-    return lines.select("row_id", "account_id", "amount", "r_words", *[F.date_add(c, days).alias(c) for c in ("value_date", "low", "high", "swap")])
+def with_decoys(lines: DataFrame, days: int = SHIFT) -> DataFrame:
+    """The lines, and each again at another time: what it meets there are pairs that are no match, met as often as by chance here."""
+    moved = [F.date_add(c, days).alias(c) for c in ("value_date", "low", "high", "swap")]
+    there = lines.select(*[c for c in lines.columns if c not in ("value_date", "low", "high", "swap")], *moved)
+    return lines.withColumn("decoy", F.lit(False)).unionByName(there.withColumn("decoy", F.lit(True)))
 
 
-def votes(pairs: DataFrame, sense: DataFrame | None = None) -> DataFrame:
-    """Each matching function's vote: 0 abstains, 1 speaks for a match, 2 against, 3 and 4 for weaker or special cases. The
-    sign conventions are read off `sense` where given (decoys), else off the pairs themselves."""
+def votes(pairs: DataFrame) -> DataFrame:
+    """Each matching function's vote: 0 abstains, 1 speaks for a match, 2 against, 3 and 4 for weaker or special cases."""
     gap = "abs(datediff(value_date, booked))"
     swap = "abs(datediff(swap, booked))"
     seen = pairs.withColumn("_hit", matched("r_words", "t_words", "t_flat")).withColumn("_party", matched("r_words", "p_words", "''"))
     # The sign convention of an account is what most of its exact pairs show.
-    exact = (sense if sense is not None else seen).where("value_date = booked AND abs(amount) = abs(t_amount)").groupBy("account_id").agg(F.avg(F.signum(F.col("amount").cast("double")) * F.signum(F.col("t_amount").cast("double"))).alias("_sense"))
+    exact = seen.where("NOT decoy AND value_date = booked AND abs(amount) = abs(t_amount)").groupBy("account_id").agg(F.avg(F.signum(F.col("amount").cast("double")) * F.signum(F.col("t_amount").cast("double"))).alias("_sense"))
     seen = seen.join(exact, "account_id", "left")
     cast = {
         "amount": "if(abs(amount) = abs(t_amount), 1, 2)",
@@ -161,7 +173,7 @@ def votes(pairs: DataFrame, sense: DataFrame | None = None) -> DataFrame:
     cells = [F.expr(cast[v]).alias(v) for v in VOTERS]
     distance = F.expr(f"coalesce(least({gap}, {swap} + 1), 3)").alias("distance")
     alike = F.expr("size(_hit) / greatest(1, size(r_words))").alias("alike")
-    return seen.select("row_id", "entity_id", *cells, distance, alike)
+    return seen.select("row_id", "entity_id", "decoy", *cells, distance, alike)
 
 
 class LabelModel:
@@ -228,10 +240,10 @@ class LabelModel:
         return factors + [(j,) for j in sorted(free)]
 
 
-def confidences(voted: DataFrame, decoys: DataFrame) -> DataFrame:
+def confidences(voted: DataFrame) -> DataFrame:
     """The candidates with their posterior. Only distinct vote vectors with counts reach the driver: at most 5 ** 8, whatever the data."""
-    both = voted.select(*VOTERS, F.lit(1).alias("real")).unionByName(decoys.select(*VOTERS, F.lit(0).alias("real")))
-    seen = both.groupBy(*VOTERS).agg(F.sum("real").alias("real"), F.sum(1 - F.col("real")).alias("decoy")).toPandas()
+    seen = voted.groupBy(*VOTERS).agg(F.count_if(~F.col("decoy")).alias("real"), F.count_if("decoy").alias("decoy")).toPandas()
+    voted = voted.where("NOT decoy")
     if seen.empty:
         return voted.withColumn("confidence", F.lit(0.0))
     posterior = LabelModel().fit(seen[list(VOTERS)].to_numpy(dtype=np.int64), seen["real"].to_numpy(dtype=float), seen["decoy"].to_numpy(dtype=float))
@@ -255,7 +267,5 @@ def one_to_one(scored: DataFrame) -> DataFrame:
 def link(statements: DataFrame, transactions: DataFrame, accounts: DataFrame) -> DataFrame:
     """``row_id, entity_id, confidence`` of the linked pairs."""
     payments = booked_payments(transactions)
-    lines = statement_lines(statements, accounts, payments)
-    pairs = candidates(lines, payments).checkpoint()
-    voted = votes(pairs).checkpoint()
-    return one_to_one(confidences(voted, votes(candidates(shifted(lines), payments), sense=pairs)))
+    lines = statement_lines(statements, accounts, payments).checkpoint()
+    return one_to_one(confidences(votes(candidates(with_decoys(lines), payments).checkpoint()).checkpoint()))
