@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_folder
 from ..sources.artefacts import read_table
-from . import byte_bpe, canonical, delivery_dedup, linkage, mixing
+from . import byte_bpe, canonical, delivery_dedup, linkage, mixing, reading_level
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,15 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mixture(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_links": p2_links, "p3_found": p3_found, "p8_ids": p8_ids, "p8_texts": p8_texts, "p9_mix": p9_mix, "p9_shares": p9_shares}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_level.demanding(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "graded_texts"))
+
+
+def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_level.reading_levels(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "graded_texts"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_links": p2_links, "p3_found": p3_found, "p8_ids": p8_ids, "p8_texts": p8_texts, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_levels": p10_levels}
 
 ORACLES: dict[str, str] = {
     "p8_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
