@@ -193,7 +193,7 @@ def list_words(entries: DataFrame) -> tuple[DataFrame, list[str]]:
 def match_texts(texts: DataFrame, entries: DataFrame) -> DataFrame:
     """For every distinct ``text``: ``someone`` (it names somebody), ``merchant_id`` (0 for none) and ``choices`` (equally good ids)."""
     words, trades = list_words(entries)
-    broken = texts.where("text IS NOT NULL").select("text").distinct().mapInPandas(_break(trades), VARIANTS)
+    broken = texts.where("text IS NOT NULL").select("text").distinct().mapInPandas(_break(trades), VARIANTS).checkpoint()
     each = broken.select("text", "trades", F.inline("variants"))
     fixed = repairs(each, words.select("name").distinct())
     hits = (
