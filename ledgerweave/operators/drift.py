@@ -10,6 +10,7 @@ documentation for an unknown source is empty, so all its fields are additions; r
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -198,3 +199,54 @@ def schema_changes(artefacts: DataFrame, schemas: DataFrame, renames: DataFrame
     versions = schema_versions(marks)
     found = changes(versions, derive_renames(versions) if renames is None else renames)
     return marks.select("arrival_seq", "source", "fingerprint").join(found, ["source", "fingerprint"]).select("arrival_seq", "field_name", "change_kind").distinct()
+
+
+RECORDS = "arrival_seq bigint, source string, kind string, record_no int, fields map<string, string>"
+
+
+def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    text = lambda v: v if isinstance(v, str) or v is None else json.dumps(v, ensure_ascii=False)
+    for pdf in batches:
+        out = []
+        for seq, source, payload in pdf[["arrival_seq", "source", "payload"]].itertuples(index=False):
+            found = read_records(decode(payload))
+            for k, record in enumerate(found[1] if found else ()):
+                pairs = flat_fields(record) if found[0] == "json" else record.items()
+                out.append((seq, source, found[0], k, {n: text(v) for n, v in pairs}))
+        yield pd.DataFrame(out, columns=["arrival_seq", "source", "kind", "record_no", "fields"])
+
+
+def consistent_records(artefacts: DataFrame, schemas: DataFrame, renames: DataFrame | None = None) -> DataFrame:
+    """One table of all records, whatever their source's version: renames undone, defaults filled in, cells cast.
+
+    Gives ``arrival_seq, record_no, source, fields`` (by documented names, additions kept) and the common columns ``value_date,
+    amount_minor`` (money out negative as the source signs it), ``currency, description, counterparty``. A cell that no cast rule
+    reads is null in its common column and stays in ``fields``.
+    """
+    if renames is None:
+        renames = derive_renames(schema_versions(fingerprints(profiles(artefacts), documented(schemas)).checkpoint()))
+    steps = renames.groupBy(F.col("source").alias("_s")).agg(F.map_from_entries(F.collect_list(F.struct("new_name", "old_name"))).alias("steps"))
+    names = schemas.groupBy(F.col("source").alias("_d")).agg(F.map_from_entries(F.collect_set(F.struct(F.lower(F.trim("field_name")), F.col("field_name")))).alias("names"))
+    rows = artefacts.select("arrival_seq", "source", "payload").mapInPandas(_records, RECORDS)
+    rows = rows.join(F.broadcast(steps), F.col("source") == F.col("_s"), "left").join(F.broadcast(names), F.col("source") == F.col("_d"), "left")
+    # A renamed field takes its documented name back; file headers take the documented spelling.
+    named = F.expr("""map_from_entries(transform(map_entries(fields), e -> named_struct(
+        'key', coalesce(try_element_at(steps, lower(trim(e.key))), if(kind = 'json', NULL, try_element_at(names, lower(trim(e.key)))), e.key), 'value', e.value)))""")
+    rows = rows.withColumn("fields", named)
+    cell = lambda *keys: F.coalesce(*[F.nullif(F.trim(F.expr(f"try_element_at(fields, '{k}')")), F.lit("")) for k in keys])
+    day, money = cell("Date", "D", "timestamp", "transactionTime"), cell("Amount", "Amount (GBP)", "T", "amount")
+    epoch = F.when(day.rlike("^[0-9]{9,}$"), F.when(F.length(day) > 11, day.try_cast("bigint") / 1000).otherwise(day.try_cast("bigint")))
+    read_day = F.coalesce(
+        F.try_to_date(F.regexp_extract(day, r"^([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), "yyyy-MM-dd"), F.try_to_date(F.regexp_extract(day, r"^([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})$", 1), "d/M/yyyy"), F.to_date(F.timestamp_seconds(epoch))
+    )
+    digits = F.regexp_replace(money, r"[^0-9.\-]", "")
+    pence = F.when((F.col("kind") != "json") & ~F.contains(digits, F.lit(".")), digits.try_cast("bigint")).otherwise((digits.try_cast("decimal(20,2)") * 100).cast("bigint"))
+    minor = cell("amount.minorUnits").try_cast("bigint")
+    signed = F.when(F.upper(cell("direction")) == "OUT", -minor).otherwise(minor)
+    return rows.select(
+        "arrival_seq", "record_no", "source", "fields", read_day.alias("value_date"),
+        F.when(minor.isNotNull(), signed).otherwise(pence).alias("amount_minor"),
+        F.upper(F.coalesce(cell("Currency", "currency", "amount.currency"), F.lit("GBP"))).alias("currency"),
+        cell("description", "Description", "reference", "Reference", "M").alias("description"),
+        cell("counterPartyName", "Counter Party", "merchant_name", "meta.provider_merchant_name", "Name", "P").alias("counterparty"),
+    )

@@ -43,7 +43,20 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.schema_changes(read_table(spark, sf_dir, "raw_artefacts"), read_table(spark, sf_dir, "source_schemas"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_periods": p4_periods, "p5_found": p5_found, "p6_found": p6_found, "p6_ledger": p6_ledger, "p7_found": p7_found}
+def p5_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each flat table of the nested payloads has, and how many artefacts and parents they come from."""
+    shared_folder(spark)
+    rows = nested.nested_rows(read_table(spark, sf_dir, "raw_artefacts"), read_table(spark, sf_dir, "source_schemas"))
+    return rows.groupBy("table_path").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("arrival_seq").alias("artefacts"), F.count_distinct("arrival_seq", "parent_path").alias("parents"))
+
+
+def p7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared_folder(spark)
+    rows = drift.consistent_records(read_table(spark, sf_dir, "raw_artefacts"), read_table(spark, sf_dir, "source_schemas"))
+    return rows.withColumn("fields", F.to_json("fields"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_periods": p4_periods, "p5_found": p5_found, "p5_tables": p5_tables, "p6_found": p6_found, "p6_ledger": p6_ledger, "p7_found": p7_found, "p7_records": p7_records}
 
 _HELD = """
 WITH w AS (
