@@ -6,7 +6,8 @@ sentences, a graded sentence counting ``GRADED_MASS`` times, and every free sent
 occur in few bands weigh more. An iteration reads the encoded corpus once: each task adds up its words' sums before the shuffle, and only
 the word vector (at most ``BUCKETS`` rows) travels to the driver and back.
 
-A sentence is running English prose if at least half of its words and pairs are known from the graded examples. A document's level is the
+A sentence is running English prose if it has two different words or more and at least half of its words and pairs are known from the
+graded examples. A document's level is the
 mean over its prose by length; its hard share is the length of prose of band 4 or 5 over the length of all of it.
 
 Edge cases: null, empty and blank texts have no sentences: level null, shares 0; texts without prose likewise; without graded examples all
@@ -129,7 +130,7 @@ def _send(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
             if not len(feats):
                 continue
             score, known = words.levels(counts, feats)
-            score = np.where(known >= 0.5, score, np.nan)  # only prose passes difficulty on
+            score = np.where((known >= 0.5) & (counts >= 3), score, np.nan)  # only prose passes difficulty on
             each = np.repeat(score, counts)
             good = ~np.isnan(each)
             for k, value in enumerate((np.ones(good.sum()), each[good], each[good] ** 2)):
@@ -148,7 +149,7 @@ def _judge(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
             docs = batch.num_rows
             doc = np.repeat(np.arange(docs), np.diff(batch.column(1).offsets.to_numpy()))
             score, known = words.levels(counts, feats)
-            prose = (known >= 0.5) & ~np.isnan(score)
+            prose = (known >= 0.5) & (counts >= 3) & ~np.isnan(score)
             whole = np.maximum(np.bincount(doc, chars, docs), 1)
             length = np.bincount(doc[prose], chars[prose], docs)
             level = np.bincount(doc[prose], (chars * np.nan_to_num(score))[prose], docs)
