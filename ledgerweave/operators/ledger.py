@@ -327,3 +327,94 @@ def audit_partition(expected: DataFrame, actual: DataFrame) -> DataFrame:
         F.when(F.col("a_n") > 1, "duplicated").when(F.col("a_n").isNull(), "missing").when(F.col("e_n").isNull(), "orphaned").when(F.col("e_amount") != F.col("a_amount"), "diverged").otherwise("present")
     )
     return mine.join(there, "imported_id", "full").groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def id_match(keyed: DataFrame) -> DataFrame:
+    """Rows of a source with an equal durable id in one account; the earliest is what the others match."""
+    with_id = keyed.where("source_id IS NOT NULL")
+    first = with_id.groupBy("account_id", "source", "source_id").agg(F.min("arrival_seq").alias("match_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return with_id.join(first, ["account_id", "source", "source_id"]).where("arrival_seq > match_id").select("event_id", "match_id")
+
+
+def source_connections(transactions: DataFrame, artefacts: DataFrame) -> DataFrame:
+    """Connections that brought rows of an account; digests are made distinct before the join, so rows do not fan out."""
+    named = artefacts.where("connection_id IS NOT NULL AND connection_id <> ''").select(F.col("digest").alias("artefact_digest"), "connection_id").distinct()
+    seen = transactions.select("account_id", "source", "artefact_digest").distinct()
+    return seen.join(named, "artefact_digest").select("account_id", "source", "connection_id").distinct()
+
+
+def walk_convention(lines: DataFrame) -> DataFrame:
+    """Which of four readings explains most steps of an account: balances up or down the page, amounts as signed or flipped."""
+    w = Window.partitionBy("account_id").orderBy("pos")
+    step = F.col("balance") - F.lag("balance").over(w)
+    seen = lines.withColumn("step", step).withColumn("before", F.lag("amount_minor").over(w)).where("step IS NOT NULL")
+    votes = {"forward": F.col("step") == F.col("amount_minor"), "forward_flipped": F.col("step") == -F.col("amount_minor"), "backward": F.col("step") == -F.col("before"), "backward_flipped": F.col("step") == F.col("before")}
+    counted = seen.groupBy("account_id").agg(*[F.count_if(v).alias(k) for k, v in votes.items()], F.count(F.lit(1)).alias("steps"))
+    best = F.greatest(*[F.struct(F.col(k).alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("name")) for i, k in enumerate(votes)])
+    return counted.select("account_id", "steps", best["n"].alias("explained"), best["name"].alias("convention"))
+
+
+def shape_summary(rows: DataFrame, columns: list[str], digits: int = 10) -> DataFrame:
+    """Per column: presence, distinct values, smallest and largest text, lengths; values only where at most `digits` differ."""
+    cells = rows.select(F.inline(F.array(*[F.struct(F.lit(c).alias("path"), F.col(c).cast("string").alias("value")) for c in columns])))
+    shape = cells.groupBy("path").agg(
+        F.count(F.lit(1)).alias("n"), F.count("value").alias("present"), F.count_distinct("value").alias("distinct_values"), F.min("value").alias("low"), F.max("value").alias("high"),
+        F.min(F.length("value")).alias("shortest"), F.max(F.length("value")).alias("longest"),
+    )
+    return shape.withColumn("categorical", F.col("distinct_values") <= digits)
+
+
+def presence_links(rows: DataFrame, category: str, field: str, least: int = 5) -> DataFrame:
+    """Categories in which a partly present field is there always or never."""
+    seen = rows.groupBy(F.col(category).alias("category")).agg(F.count(F.lit(1)).alias("n"), F.count(field).alias("present"))
+    return seen.where(f"n >= {least} AND present IN (0, n)").select("category", "n", (F.col("present") > 0).alias("always"))
+
+
+def dead_rules(parts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Hits per rule, rules without any included."""
+    hit = first_match_rules(parts, rules).where("rule_no IS NOT NULL").groupBy("rule_no").agg(F.count(F.lit(1)).alias("n"))
+    return rules.join(hit, "rule_no", "left").select("rule_no", "needle", F.coalesce("n", F.lit(0)).alias("hits"))
+
+
+def alert_edges(before: DataFrame, now: DataFrame) -> DataFrame:
+    """What to announce between two states of (key, rung): new or higher rungs announce, lower ones are silent, vanished ones resolve."""
+    both = before.withColumnRenamed("rung", "old").join(now.withColumnRenamed("rung", "new"), "key", "full")
+    edge = F.when(F.col("new").isNull(), "resolved").when(F.col("old").isNull() | (F.col("new") > F.col("old")), "announced").otherwise("silent")
+    return both.select("key", edge.alias("edge"))
+
+
+def rebuild_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Row counts per account before and after, with what vanished or is new."""
+    b, a = before.groupBy("account_id").agg(F.count(F.lit(1)).alias("b")), after.groupBy("account_id").agg(F.count(F.lit(1)).alias("a"))
+    state = F.when(F.col("a").isNull(), "vanished").when(F.col("b").isNull(), "new").when(F.col("a") == F.col("b"), "same").otherwise("changed")
+    return b.join(a, "account_id", "full").select("account_id", F.coalesce("b", F.lit(0)).alias("rows_before"), F.coalesce("a", F.lit(0)).alias("rows_after"), state.alias("state"))
+
+
+def orphan_rows(rows: DataFrame, key: str, owners: DataFrame, owner_key: str) -> DataFrame:
+    """Rows whose reference names no owner; null and empty references are no orphans."""
+    return rows.where(F.col(key).isNotNull() & (F.col(key) != "")).join(owners.select(F.col(owner_key).alias(key)).distinct(), key, "left_anti")
+
+
+def mask_text(text: Column) -> Column:
+    """Digits to 9, capitals to X, small letters to x: shape without content."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[0-9]", "9"), "[A-Z]", "X"), "[a-z]", "x")
+
+
+def budget_payload(ledger: DataFrame) -> DataFrame:
+    """Rows as a budgeting application takes them: stable imported id, payee, cleared flag; void rows stay out."""
+    keyed = with_keys(ledger.where("status <> 'void'"))
+    return keyed.select("event_id", "account_id", F.concat("content_key", F.lit(":"), F.col("occurrence").cast("string")).alias("imported_id"), F.col("description").alias("payee"), "amount_minor", (F.col("status") != "pending").alias("cleared"))
+
+
+def duplicate_ids(payload: DataFrame) -> DataFrame:
+    return payload.groupBy("account_id", "imported_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def propagation(rows: DataFrame) -> DataFrame:
+    """Categories that labelled rows lend to unlabelled ones of the same group within ten per cent of the amount: one value is a target,
+    several are contested. Labelled rows of a group collapse to (value, amount) before the join."""
+    seeds = rows.where("label IS NOT NULL").groupBy("group_key", "label", F.col("amount_minor").alias("seed")).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    near = "sign(seed) = sign(amount_minor) AND abs(amount_minor - seed) * 10 <= abs(seed)"
+    met = rows.where("label IS NULL").select("event_id", "group_key", "amount_minor").join(seeds, "group_key").where(near)
+    out = met.groupBy("event_id").agg(F.count_distinct("label").alias("k"), F.min("label").alias("label"))
+    return out.select("event_id", F.when(F.col("k") == 1, F.col("label")).alias("target"), (F.col("k") > 1).alias("contested"))

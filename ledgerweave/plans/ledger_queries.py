@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import fold
@@ -238,11 +238,79 @@ def attribution_gaps(spark, sf):
     return read_table(spark, sf, "raw_artefacts").groupBy("source").agg(F.count(F.lit(1)).alias("artefacts"), F.count_if(F.col("connection_id").isNull() | (F.col("connection_id") == "")).alias("unattributed"), F.count_if(F.col("record_count").isNull()).alias("uncounted"))
 
 
+def could_be_one_payment(spark, sf):
+    """The decision ladder on neighbouring observations of an account, amount and day."""
+    keyed = ops.with_keys(_ledger(spark, sf))
+    w = Window.partitionBy("account_id", "amount_minor", "value_date").orderBy("arrival_seq")
+    cols = ("source", "tier", "source_id", "status", "content_key", "occurrence")
+    both = keyed.select("event_id", *[F.col(c).alias(f"a_{c}") for c in cols], *[F.lag(c).over(w).alias(f"b_{c}") for c in cols]).where("b_source IS NOT NULL")
+    return both.select("event_id", ops.could_be_one_payment("a_", "b_", F.col("a_content_key") == F.col("b_content_key")).alias("one_payment"))
+
+
+def id_match(spark, sf):
+    return ops.id_match(_ledger(spark, sf).withColumn("source_id", F.when(F.col("source_id").isNotNull(), F.concat(F.lit("id-"), F.floor(F.col("event_id") / 500)))))
+
+
+def source_connections(spark, sf):
+    return ops.source_connections(read_table(spark, sf, "transactions"), read_table(spark, sf, "raw_artefacts"))
+
+
+def walk_convention(spark, sf):
+    rows = read_table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("account_id"), F.col("l_linenumber").alias("pos")).agg(F.floor(F.sum("l_quantity")).cast("long").alias("amount_minor"))
+    total = F.sum("amount_minor").over(Window.partitionBy("account_id").orderBy("pos"))
+    return ops.walk_convention(rows.withColumn("balance", F.when(F.col("account_id") % 3 == 0, -total).otherwise(total)))
+
+
+def shape_summary(spark, sf):
+    return ops.shape_summary(read_table(spark, sf, "raw_artefacts"), ["source", "account_ref", "media_type", "origin", "record_count", "connection_id"])
+
+
+def presence_links(spark, sf):
+    return ops.presence_links(read_table(spark, sf, "planted_events"), "kind", "transfer_id")
+
+
+def dead_rules(spark, sf):
+    rules = spark.createDataFrame([(2, "steel", "metal"), (3, "a", "letter"), (4, "nothing-has-this", "never")], "rule_no int, needle string, value string")
+    return ops.dead_rules(read_table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("text")), rules)
+
+
+def alert_edges(spark, sf):
+    day = lambda a, b: _asks(spark, sf).where(f"refused AND asked_at >= timestamp_ntz'{a}' AND asked_at < timestamp_ntz'{b}'").groupBy(F.col("connection").alias("key")).agg(F.count(F.lit(1)).alias("rung"))
+    return ops.alert_edges(day("2024-01-10", "2024-01-12"), day("2024-01-12", "2024-01-14"))
+
+
+def rebuild_diff(spark, sf):
+    rows = _ledger(spark, sf)
+    return ops.rebuild_diff(rows.where("value_date < DATE'2024-01-10'"), rows.where("value_date >= DATE'2024-01-20'"))
+
+
+def orphan_rows(spark, sf):
+    return ops.orphan_rows(read_table(spark, sf, "transactions").select("entity_id", "artefact_digest").distinct(), "artefact_digest", read_table(spark, sf, "raw_artefacts"), "digest").select("entity_id", "artefact_digest")
+
+
+def mask_text(spark, sf):
+    return read_table(spark, sf, "planted_events").select("event_id", ops.mask_text(F.col("description")).alias("masked")).distinct()
+
+
+def budget_payload(spark, sf):
+    return ops.budget_payload(_ledger(spark, sf))
+
+
+def duplicate_ids(spark, sf):
+    return ops.duplicate_ids(ops.budget_payload(_ledger(spark, sf)))
+
+
+def propagation(spark, sf):
+    rows = read_table(spark, sf, "planted_events").dropDuplicates(["event_id"]).select("event_id", "amount_minor", ops.group_key(F.col("description")).alias("group_key"), F.when(F.col("event_id") % 3 == 0, F.col("kind")).alias("label"))
+    return ops.propagation(rows)
+
+
 NAMES = (
     "coverage coverage_net ledger_rollup source_counts corroboration content_key occurrence_number entity_id artefact_digest normalise_description group_key parse_amount "
     "format_amount content_match nearest_fuzzy_match recurring_series transfer_pairs resolve_fold review_queue fold_summary agreement_leftovers agreement_figures month_gaps gap_witnesses transpositions stale_feeds balance_walk "
     "settlement_lag duplication items_by_month sign_by_category worklist explain rule_sweep annotation_winner refusal_streaks asks_last_day audit_partition unbound_accounts "
-    "landed_once vanished_pending status_counts observation_projection current_view attribution_gaps"
+    "landed_once vanished_pending status_counts observation_projection current_view attribution_gaps could_be_one_payment id_match source_connections walk_convention shape_summary presence_links dead_rules alert_edges rebuild_diff "
+    "orphan_rows mask_text budget_payload duplicate_ids propagation"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}
 
@@ -350,4 +418,36 @@ ORACLES = {
     "observation_projection": f"SELECT account_id, fact, kind, window_from, window_to, arg_max(observation_id, ({_RANK}, observed_at, observation_id)) AS observation_id FROM observations WHERE value IS NOT NULL GROUP BY 1, 2, 3, 4, 5",
     "current_view": f"SELECT account_id, fact, kind, arg_max(value, ({_RANK}, observed_at, observation_id)) AS value FROM observations WHERE value IS NOT NULL AND (window_from IS NULL OR window_from <= DATE '2024-06-30') AND (window_to IS NULL OR window_to >= DATE '2024-06-30') AND observed_at <= DATE '2024-06-30' GROUP BY 1, 2, 3",
     "attribution_gaps": "SELECT source, count(*) AS artefacts, count(*) FILTER (connection_id IS NULL OR connection_id = '') AS unattributed, count(*) FILTER (record_count IS NULL) AS uncounted FROM raw_artefacts GROUP BY 1",
+    "could_be_one_payment": _K + f""", n AS (SELECT *, lag(event_id) OVER (PARTITION BY account_id, amount_minor, value_date ORDER BY arrival_seq) AS before FROM k)
+        SELECT a.event_id, {_ONE.format(same='a.content_key = b.content_key')} AS one_payment FROM n a JOIN k b ON b.event_id = a.before""",
+    "id_match": _L + """, i AS (SELECT *, CASE WHEN source_id IS NOT NULL THEN 'id-' || (event_id // 500) END AS sid FROM l),
+        f AS (SELECT account_id, source, sid, min(arrival_seq) AS match_id FROM i WHERE sid IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 1)
+        SELECT i.event_id, f.match_id FROM i JOIN f ON f.account_id = i.account_id AND f.source = i.source AND f.sid = i.sid WHERE i.arrival_seq > f.match_id""",
+    "source_connections": "SELECT DISTINCT t.account_id, t.source, a.connection_id FROM transactions t JOIN raw_artefacts a ON a.digest = t.artefact_digest WHERE a.connection_id IS NOT NULL AND a.connection_id <> ''",
+    "walk_convention": """WITH r AS (SELECT l_orderkey AS account_id, l_linenumber AS pos, CAST(floor(sum(l_quantity)) AS BIGINT) AS amount FROM lineitem GROUP BY 1, 2),
+        t AS (SELECT *, sum(amount) OVER (PARTITION BY account_id ORDER BY pos) * CASE WHEN account_id % 3 = 0 THEN -1 ELSE 1 END AS balance FROM r),
+        s AS (SELECT *, balance - lag(balance) OVER w AS step, lag(amount) OVER w AS prior FROM t WINDOW w AS (PARTITION BY account_id ORDER BY pos)),
+        c AS (SELECT account_id, count(*) AS steps, count(*) FILTER (step = amount) AS a, count(*) FILTER (step = -amount) AS b, count(*) FILTER (step = -prior) AS c, count(*) FILTER (step = prior) AS d FROM s WHERE step IS NOT NULL GROUP BY 1)
+        SELECT account_id, steps, greatest(a, b, c, d) AS explained, CASE greatest(a, b, c, d) WHEN a THEN 'forward' WHEN b THEN 'forward_flipped' WHEN c THEN 'backward' ELSE 'backward_flipped' END AS convention FROM c""",
+    "shape_summary": " UNION ALL ".join(
+        f"SELECT '{c}' AS path, count(*) AS n, count({c}) AS present, count(DISTINCT {c}) AS distinct_values, min(CAST({c} AS VARCHAR)) AS low, max(CAST({c} AS VARCHAR)) AS high, "
+        f"CAST(min(length(CAST({c} AS VARCHAR))) AS INTEGER) AS shortest, CAST(max(length(CAST({c} AS VARCHAR))) AS INTEGER) AS longest, count(DISTINCT {c}) <= 10 AS categorical FROM raw_artefacts"
+        for c in ("source", "account_ref", "media_type", "origin", "record_count", "connection_id")
+    ),
+    "presence_links": "SELECT kind AS category, count(*) AS n, count(transfer_id) > 0 AS always FROM planted_events GROUP BY 1 HAVING count(*) >= 5 AND count(transfer_id) IN (0, count(*))",
+    "dead_rules": """WITH r(rule_no, needle) AS (VALUES (2, 'steel'), (3, 'a'), (4, 'nothing-has-this')),
+        h AS (SELECT p_partkey, min(rule_no) AS rule_no FROM part JOIN r ON contains(lower(p_name || ' ' || p_type), needle) GROUP BY 1)
+        SELECT r.rule_no, needle, count(h.p_partkey) AS hits FROM r LEFT JOIN h ON h.rule_no = r.rule_no GROUP BY 1, 2""",
+    "alert_edges": """WITH e AS (SELECT 'conn-' || (user_id % 97) AS key, ts >= TIMESTAMP '2024-01-12' AS late, count(*) AS rung FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-14' GROUP BY 1, 2),
+        b AS (SELECT * FROM e WHERE NOT late), n AS (SELECT * FROM e WHERE late)
+        SELECT coalesce(b.key, n.key) AS key, CASE WHEN n.rung IS NULL THEN 'resolved' WHEN b.rung IS NULL OR n.rung > b.rung THEN 'announced' ELSE 'silent' END AS edge FROM b FULL JOIN n ON n.key = b.key""",
+    "rebuild_diff": _L + """, c AS (SELECT account_id, count(*) FILTER (value_date < DATE '2024-01-10') AS b, count(*) FILTER (value_date >= DATE '2024-01-20') AS a FROM l GROUP BY 1)
+        SELECT account_id, b AS rows_before, a AS rows_after, CASE WHEN a = 0 THEN 'vanished' WHEN b = 0 THEN 'new' WHEN a = b THEN 'same' ELSE 'changed' END AS state FROM c WHERE a + b > 0""",
+    "orphan_rows": "SELECT DISTINCT entity_id, artefact_digest FROM transactions t WHERE artefact_digest <> '' AND NOT EXISTS (SELECT 1 FROM raw_artefacts a WHERE a.digest = t.artefact_digest)",
+    "mask_text": "SELECT DISTINCT event_id, regexp_replace(regexp_replace(regexp_replace(description, '[0-9]', '9', 'g'), '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g') AS masked FROM planted_events",
+    "budget_payload": _K + "SELECT event_id, account_id, content_key || ':' || occurrence AS imported_id, description AS payee, amount_minor, status <> 'pending' AS cleared FROM k",
+    "duplicate_ids": _K + "SELECT account_id, content_key || ':' || occurrence AS imported_id, count(*) AS n FROM k GROUP BY 1, 2 HAVING count(*) > 1",
+    "propagation": """WITH r AS (SELECT DISTINCT event_id, amount_minor, upper(trim(regexp_replace(regexp_replace(description, '[0-9*#]+', '', 'g'), '\\s+', ' ', 'g'))) AS g, CASE WHEN event_id % 3 = 0 THEN kind END AS label FROM planted_events),
+        m AS (SELECT a.event_id, s.label FROM r a JOIN r s ON s.g = a.g AND s.label IS NOT NULL AND sign(s.amount_minor) = sign(a.amount_minor) AND abs(a.amount_minor - s.amount_minor) * 10 <= abs(s.amount_minor) WHERE a.label IS NULL)
+        SELECT event_id, CASE WHEN count(DISTINCT label) = 1 THEN min(label) END AS target, count(DISTINCT label) > 1 AS contested FROM m GROUP BY 1""",
 }
