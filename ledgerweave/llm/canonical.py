@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The most entries of a canonical list whose words are shipped to every executor.
-LIST_BOUND = 100_000
+LIST_BOUND = 20_000
 #: The least score of an entry that is meant.
 LEAST = 0.62
 
