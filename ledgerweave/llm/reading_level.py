@@ -7,8 +7,7 @@ occur in few bands weigh more. An iteration reads the encoded corpus once: each
 the word vector (at most ``BUCKETS`` rows) travels to the driver and back.
 
 A sentence is running English prose if it has two different words or more and at least half of its words and pairs are known from the
-graded examples. A document's level is the
-mean over its prose by length; its hard share is the length of prose of band 4 or 5 over the length of all of it.
+graded examples. A document's level is the mean over its prose by length; its hard share is the length of prose of band 4 or 5 over the length of all of it.
 
 Edge cases: null, empty and blank texts have no sentences: level null, shares 0; texts without prose likewise; without graded examples all
 levels are null; graded rows without band or text are ignored; repeated texts get equal results; extra columns are ignored.
@@ -84,26 +83,25 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["doc_id", "chars", "counts", "feats"])
 
 
-class Words:
-    """The word side: per node the sums that its sentences sent, and what follows from them."""
+def word_side(n: np.ndarray, total: np.ndarray, squares: np.ndarray, graded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Score, weight and whether it is graded of every word node, from the sums that its sentences sent. Plain arrays, for they travel."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = np.where(n > 0, total / n, 0.0).astype(np.float32)
+        spread = np.where(n > 0, np.maximum(squares / n - score.astype(np.float64) ** 2, 0), 1.0)
+    weight = np.where(n > 0, np.sqrt(np.minimum(n / GRADED_MASS, 5.0)) / (spread + 0.15), 0.0).astype(np.float32)
+    return score, weight, graded
 
-    def __init__(self, n: np.ndarray, total: np.ndarray, squares: np.ndarray, graded: np.ndarray) -> None:
-        self.n, self.graded = n, graded
-        with np.errstate(divide="ignore", invalid="ignore"):
-            self.score = np.where(n > 0, total / n, 0.0).astype(np.float32)
-            spread = np.where(n > 0, np.maximum(squares / n - self.score.astype(np.float64) ** 2, 0), 1.0)
-        support = np.sqrt(np.minimum(n / GRADED_MASS, 5.0))
-        self.weight = np.where(n > 0, support / (spread + 0.15), 0.0).astype(np.float32)
 
-    def levels(self, counts: np.ndarray, feats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Score and known share of each sentence; a sentence without known words scores nan."""
-        unit = np.repeat(np.arange(len(counts)), counts)
-        w = self.weight[feats]
-        mass = np.bincount(unit, w, len(counts))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            score = np.bincount(unit, w * self.score[feats], len(counts)) / np.where(mass > 0, mass, np.nan)
-            known = np.bincount(unit, self.graded[feats], len(counts)) / np.maximum(counts, 1)
-        return score, known
+def levels(words: tuple[np.ndarray, np.ndarray, np.ndarray], counts: np.ndarray, feats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Score of each sentence (nan without known words) and whether it is running prose."""
+    scores, weights, graded = words
+    unit = np.repeat(np.arange(len(counts)), counts)
+    w = weights[feats]
+    mass = np.bincount(unit, w, len(counts))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = np.bincount(unit, w * scores[feats], len(counts)) / np.where(mass > 0, mass, np.nan)
+        known = np.bincount(unit, graded[feats], len(counts)) / np.maximum(counts, 1)
+    return score, (known >= 0.5) & (counts >= 3) & ~np.isnan(score)
 
 
 def graded_sums(graded: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,14 +121,14 @@ def _flat(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 def _send(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Words = shared.value
+        words = shared.value
         sums = np.zeros((3, BUCKETS))
         for batch in batches:
             counts, feats = _flat(batch, "counts"), _flat(batch, "feats")
             if not len(feats):
                 continue
-            score, known = words.levels(counts, feats)
-            score = np.where((known >= 0.5) & (counts >= 3), score, np.nan)  # only prose passes difficulty on
+            score, prose = levels(words, counts, feats)
+            score = np.where(prose, score, np.nan)  # only prose passes difficulty on
             each = np.repeat(score, counts)
             good = ~np.isnan(each)
             for k, value in enumerate((np.ones(good.sum()), each[good], each[good] ** 2)):
@@ -143,13 +141,12 @@ def _send(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
 
 def _judge(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Words = shared.value
+        words = shared.value
         for batch in batches:
             counts, feats, chars = _flat(batch, "counts"), _flat(batch, "feats"), _flat(batch, "chars").astype(float)
             docs = batch.num_rows
             doc = np.repeat(np.arange(docs), np.diff(batch.column(1).offsets.to_numpy()))
-            score, known = words.levels(counts, feats)
-            prose = (known >= 0.5) & (counts >= 3) & ~np.isnan(score)
+            score, prose = levels(words, counts, feats)
             whole = np.maximum(np.bincount(doc, chars, docs), 1)
             length = np.bincount(doc[prose], chars[prose], docs)
             level = np.bincount(doc[prose], (chars * np.nan_to_num(score))[prose], docs)
@@ -173,14 +170,14 @@ def reading_levels(documents: DataFrame, graded: DataFrame, iterations: int = IT
     path = f"{shared_folder(spark)}/sentences-{uuid4().hex}"
     documents.select("doc_id", "text").mapInArrow(_encode, ENCODED).write.option("compression", "zstd").parquet(path)
     encoded = spark.read.parquet(path)
-    words = Words(*clamped, seen)
+    words = word_side(*clamped, seen)
     for _ in range(iterations):
         shared = spark.sparkContext.broadcast(words)
         sent = encoded.mapInArrow(_send(shared), "node int, n double, total double, squares double").groupBy("node").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares")).toPandas()
         sums = [c.copy() for c in clamped]
         for k, name in enumerate(("n", "total", "squares")):
             sums[k][sent["node"].to_numpy()] += sent[name].to_numpy()
-        words = Words(*sums, seen)
+        words = word_side(*sums, seen)
     return encoded.mapInArrow(_judge(spark.sparkContext.broadcast(words)), "doc_id bigint, level double, prose_share double, hard_share double")
 
 
