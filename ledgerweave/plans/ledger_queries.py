@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import fold
+from ..operators import fold, statements
 from ..operators import ledger as ops
 from ..sources.artefacts import read_table
 
@@ -305,12 +305,19 @@ def propagation(spark, sf):
     return ops.propagation(rows)
 
 
+def statement_lines(spark, sf):
+    """Rows read off the statement texts among the documents."""
+    docs = read_table(spark, sf, "documents").where("lower(trim(source)) RLIKE '^statement' AND text IS NOT NULL")
+    lines = docs.select("doc_id", F.lit(1).alias("page_no"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    return statements.statement_rows(lines).select("doc_id", "section", "position", "description", "amount_minor")
+
+
 NAMES = (
     "coverage coverage_net ledger_rollup source_counts corroboration content_key occurrence_number entity_id artefact_digest normalise_description group_key parse_amount "
     "format_amount content_match nearest_fuzzy_match recurring_series transfer_pairs resolve_fold review_queue fold_summary agreement_leftovers agreement_figures month_gaps gap_witnesses transpositions stale_feeds balance_walk "
     "settlement_lag duplication items_by_month sign_by_category worklist explain rule_sweep annotation_winner refusal_streaks asks_last_day audit_partition unbound_accounts "
     "landed_once vanished_pending status_counts observation_projection current_view attribution_gaps could_be_one_payment id_match source_connections walk_convention shape_summary presence_links dead_rules alert_edges rebuild_diff "
-    "orphan_rows mask_text budget_payload duplicate_ids propagation"
+    "orphan_rows mask_text budget_payload duplicate_ids propagation statement_lines"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}
 
@@ -450,4 +457,10 @@ ORACLES = {
     "propagation": """WITH r AS (SELECT DISTINCT event_id, amount_minor, upper(trim(regexp_replace(regexp_replace(description, '[0-9*#]+', '', 'g'), '\\s+', ' ', 'g'))) AS g, CASE WHEN event_id % 3 = 0 THEN kind END AS label FROM planted_events),
         m AS (SELECT a.event_id, s.label FROM r a JOIN r s ON s.g = a.g AND s.label IS NOT NULL AND sign(s.amount_minor) = sign(a.amount_minor) AND abs(a.amount_minor - s.amount_minor) * 10 <= abs(s.amount_minor) WHERE a.label IS NULL)
         SELECT event_id, CASE WHEN count(DISTINCT label) = 1 THEN min(label) END AS target, count(DISTINCT label) > 1 AS contested FROM m GROUP BY 1""",
+    "statement_lines": r"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents WHERE regexp_matches(lower(trim(source)), '^statement') AND text IS NOT NULL),
+        l AS (SELECT doc_id, unnest(t) AS text, unnest(range(len(t))) AS line_no FROM d),
+        s AS (SELECT *, greatest(sum(CASE WHEN regexp_matches(text, '(?i)page\s+1\s+of\s+\d+') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no), 1) AS section,
+          regexp_extract(text, '^\s*(\d{1,2})\s+([A-Za-z]{3})[a-z]*\s+(.+?)\s+([\d,]+\.\d{2})\s*(CR)?(?:\s+-?[\d,]+\.\d{2})?\s*$', ['d', 'm', 't', 'a', 'c']) AS g FROM l)
+        SELECT doc_id, CAST(section AS BIGINT) AS section, CAST(row_number() OVER (PARTITION BY doc_id, section ORDER BY line_no) AS INTEGER) AS position, g.t AS description,
+          CAST(CAST(replace(g.a, ',', '') AS DECIMAL(20, 2)) * 100 AS BIGINT) * CASE WHEN g.c = 'CR' THEN 1 ELSE -1 END AS amount_minor FROM s WHERE g.d <> ''""",
 }
