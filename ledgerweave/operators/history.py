@@ -12,12 +12,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ("account_id", "fact", "kind")
 VERSIONED = ("rate", "limit", "name", "standing")
 
+# Stand for "before all instants" (negative) or "no end", and for "no last day".
+FAR = 1 << 62
+FAR_DAY = (1 << 31) - 1
+
 
 def provenance_rank(provenance: Column) -> Column:
     """human 2, model 1, everything else 0."""
@@ -53,11 +58,12 @@ def readings(observations: DataFrame, facts: Sequence[str] = VERSIONED) -> DataF
     )
 
 
-def bitemporal_ledger(rows: DataFrame) -> DataFrame:
-    """Every reading with the period it is valid in and the period it was believed in.
+def reading_periods(rows: DataFrame) -> DataFrame:
+    """Every reading once, with the period it was believed in and the end that present beliefs give it.
 
     ``recorded_to`` is the instant at which a better reading of the same day arrived (null: still believed). ``valid_to`` is the day
-    before the next reading that was believed together with it, found by a sweep over starts; null when none follows.
+    before the next reading that is believed now, found by a sweep over starts; null when none follows. What was believed of other
+    days before they were corrected is not here but in :func:`bitemporal_ledger`.
     """
     day = Window.partitionBy(*KEYS, "start")
     better = F.struct("rank", "observed_at", "observation_id")
@@ -73,6 +79,84 @@ def bitemporal_ledger(rows: DataFrame) -> DataFrame:
     return placed.withColumn("valid_to", F.date_sub(following, 1)).withColumnRenamed("start", "valid_from").drop("_day")
 
 
+def _slices(table: pa.Table) -> pa.Table:
+    """The ledger rows of one series: a sweep from the last start back, with a stack of the starts that can follow.
+
+    The stack holds the nearest following start first and, after it, only starts known earlier than all nearer ones. Each start's first
+    arrival cuts one earlier slice, so there are at most as many rows as readings and starts together.
+    """
+    held: dict[int, list[tuple[int, int, int, int]]] = {}
+    for row, (day, since, until, window) in enumerate(zip(*(table[c].to_pylist() for c in ("_day", "_since", "_until", "_window")))):
+        held.setdefault(day, []).append((since, until, window, row))
+    out: list[tuple[int, int, int, int]] = []
+    following: list[tuple[int, int]] = []
+    for day in sorted(held, reverse=True):
+        for since, until, window, row in sorted(held[day]):
+            pieces, upto = [], until
+            for first, start in reversed(following):
+                if first < upto:
+                    pieces.append((row, min(start - 1, window), max(first, since), upto))
+                    upto = first
+                if first <= since:
+                    break
+            if upto > since:
+                pieces.append((row, window, since, upto))
+            for piece in reversed(pieces):
+                if out and out[-1][:2] == piece[:2]:
+                    out[-1] = (*out[-1][:3], piece[3])
+                else:
+                    out.append(piece)
+        first = min(x[0] for x in held[day])
+        while following and following[-1][0] >= first:
+            following.pop()
+        following.append((first, day))
+    rows, ends, since, until = map(list, zip(*out))
+    taken = table.drop_columns(["_day", "_since", "_until", "_window"]).take(pa.array(rows, pa.int64()))
+    for name, values, kind, none in (("_valid_to", ends, pa.int32(), FAR_DAY), ("_from", since, pa.int64(), -FAR), ("_to", until, pa.int64(), FAR)):
+        taken = taken.append_column(name, pa.array([None if x == none else x for x in values], kind))
+    return taken
+
+
+def bitemporal_ledger(rows: DataFrame) -> DataFrame:
+    """Every slice of belief: which reading was valid in which days, and from which to which instant that was believed.
+
+    A reading is valid up to the day before the next start known at that instant, or up to its ``window_to`` if that is earlier (null:
+    no end; a window that ends before it begins leaves a slice without days). Each instant that changes this ends the recorded period
+    of the slice and adds a new one: a late reading splits the earlier reading that it falls into, a better one of the same day takes
+    the day over. At every instant the slices with ``recorded_from <= instant < recorded_to`` (null: before all, still believed) are
+    what was believed then. Of readings recorded at one instant only the best of a day was ever believed.
+
+    Columns: the keys, ``observation_id, plain, window_to, valid_from, valid_to, recorded_from, recorded_to``.
+    """
+    better = F.struct("rank", "observed_at", "observation_id")
+    instant = F.coalesce(F.unix_micros("ingested_at"), F.lit(-FAR))
+    best = F.max_by(F.struct("observation_id", "plain", "window_to"), better)
+    told = rows.groupBy(*KEYS, "start", instant.alias("_since")).agg(F.max(better).alias("_better"), best.alias("_told"))
+    # Within one valid day belief only moves upward: a reading ends when the first better one is recorded.
+    day = Window.partitionBy(*KEYS, "start").orderBy("_since")
+    told = told.withColumn("_held", F.max("_better").over(day.rowsBetween(Window.unboundedPreceding, -1)))
+    kept = told.where(F.col("_held").isNull() | (F.col("_held") < F.col("_better")))
+    kept = kept.select(
+        *KEYS,
+        "_told.*",
+        F.col("start").alias("valid_from"),
+        F.unix_date("start").alias("_day"),
+        "_since",
+        F.coalesce(F.lead("_since").over(day), F.lit(FAR)).alias("_until"),
+        F.coalesce(F.unix_date("window_to"), F.lit(FAR_DAY)).alias("_window"),
+    )
+    kinds = dict(kept.dtypes)
+    names = [*KEYS, "observation_id", "plain", "window_to", "valid_from"]
+    schema = ", ".join([f"{n} {kinds[n]}" for n in names] + ["_valid_to int", "_from bigint", "_to bigint"])
+    split = kept.groupBy(*KEYS).applyInArrow(_slices, schema)
+    return split.select(
+        *names,
+        F.date_from_unix_date("_valid_to").alias("valid_to"),
+        F.timestamp_micros("_from").alias("recorded_from"),
+        F.timestamp_micros("_to").alias("recorded_to"),
+    )
+
+
 def present_rows(rows: DataFrame) -> DataFrame:
     """The believed reading of each start day: the ledger's open slice, found by a map-side combining maximum.
 

@@ -34,6 +34,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = history.reading_periods(history.readings(read_table(spark, sf_dir, "observations")))
+    return ledger.select("account_id", "fact", "kind", "observation_id", "plain", "valid_from", "valid_to", F.unix_micros("recorded_from").alias("recorded_from"), F.unix_micros("recorded_to").alias("recorded_to"))
+
+
+def p6_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole ledger: every valid slice with the instants between which it was believed. p6_ledger has each reading once."""
     ledger = history.bitemporal_ledger(history.readings(read_table(spark, sf_dir, "observations")))
     return ledger.select("account_id", "fact", "kind", "observation_id", "plain", "valid_from", "valid_to", F.unix_micros("recorded_from").alias("recorded_from"), F.unix_micros("recorded_to").alias("recorded_to"))
 
@@ -56,7 +62,7 @@ def p7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("fields", F.to_json("fields"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_periods": p4_periods, "p5_found": p5_found, "p5_tables": p5_tables, "p6_found": p6_found, "p6_ledger": p6_ledger, "p7_found": p7_found, "p7_records": p7_records}
+QUERIES = {"p4_found": p4_found, "p4_periods": p4_periods, "p5_found": p5_found, "p5_tables": p5_tables, "p6_found": p6_found, "p6_ledger": p6_ledger, "p6_slices": p6_slices, "p7_found": p7_found, "p7_records": p7_records}
 
 _HELD = """
 WITH w AS (

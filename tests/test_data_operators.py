@@ -62,6 +62,43 @@ def test_ledger_supersedes_without_overwriting(spark):
     assert got[1].recorded_to == datetime(2024, 3, 1) and got[2].recorded_to is None and got[2].valid_to == d(2024, 1, 31)
 
 
+def test_late_readings_split_the_earlier_slice(spark):
+    d, t = date, datetime
+    rows = [(1, "a", "rate", "", d(2024, 1, 1), "5", None, None, "statement", t(2024, 1, 2), ""), (2, "a", "rate", "", d(2024, 2, 1), "6", None, d(2024, 5, 1), "statement", t(2024, 3, 10), "")]
+    got = {tuple(r)[6:] + (r.plain,) for r in history.bitemporal_ledger(history.readings(spark.createDataFrame(rows, OBS))).select("account_id", "fact", "kind", "observation_id", "plain", "window_to", "valid_from", "valid_to", "recorded_from", "recorded_to").collect()}
+    five, six = "5.000000", "6.000000"
+    assert got == {(d(2024, 1, 1), None, t(2024, 1, 2), t(2024, 3, 10), five), (d(2024, 1, 1), d(2024, 1, 31), t(2024, 3, 10), None, five), (d(2024, 2, 1), d(2024, 5, 1), t(2024, 3, 10), None, six)}
+
+
+def test_ledger_holds_the_belief_of_every_instant(spark):
+    rng, day0, t0, rows = random.Random(3), date(2024, 1, 1), datetime(2024, 1, 1), []
+    ranks = ("statement", "model:x", "human")
+    for n in range(240):
+        start = rng.randint(0, 25)
+        window = rng.choice([None, None, rng.randint(0, 30)])
+        at = rng.choice([None, *range(30)]) if n % 9 == 0 else rng.randint(0, 29)
+        rows.append((n, f"a{n % 8}" if n % 8 else None, "rate", None, day0 + timedelta(rng.randint(0, 9)), str(n % 5), day0 + timedelta(start), None if window is None else day0 + timedelta(window), rng.choice(ranks), None if at is None else t0 + timedelta(at), ""))
+    ledger = history.bitemporal_ledger(history.readings(spark.createDataFrame(rows + rows[:9], OBS))).collect()
+    ends = {}
+    for r in ledger:
+        ends.setdefault((r.observation_id, r.recorded_from), []).append(r)
+    assert all(len(x) == 1 for x in ends.values())
+    for account in {r[1] for r in rows}:
+        for instant in [None, *(t0 + timedelta(k) for k in range(31))]:
+            known = [r for r in rows if r[1] == account and (r[9] is None or (instant is not None and r[9] <= instant))]
+            best = {}
+            for r in known:
+                best[r[6]] = max(best.get(r[6], ((-1,),)), ((ranks.index(r[8]), r[4], r[0]), r))
+            seen = [r for r in ledger if r.account_id == account and (r.recorded_from is None or (instant is not None and r.recorded_from <= instant)) and (r.recorded_to is None or (instant is None or instant < r.recorded_to))]
+            assert len(seen) == len(best)
+            for k in range(32):
+                day = day0 + timedelta(k)
+                starts = [s for s in best if s <= day]
+                want = best[max(starts)][1] if starts else None
+                want = [] if want is None or (want[7] is not None and want[7] < day) else [want[0]]
+                assert [r.observation_id for r in seen if r.valid_from <= day and (r.valid_to is None or day <= r.valid_to)] == want
+
+
 def held(value):
     if isinstance(value, str) and value[:1] in ("{", "["):
         try:
