@@ -157,26 +157,18 @@ def bitemporal_ledger(rows: DataFrame) -> DataFrame:
     )
 
 
-def present_rows(rows: DataFrame) -> DataFrame:
-    """The believed reading of each start day: the ledger's open slice, found by a map-side combining maximum.
+def versions(rows: DataFrame) -> DataFrame:
+    """Each version with the days it was valid: ``account_id, fact, kind, valid_from, valid_to`` as strings, '' for no end.
 
-    Afterwards a series has at most one row a day, so the windows over a series are bounded by the calendar.
+    Versions are runs of the ledger's open slice, which has one row a start day, so the windows over a series are bounded by the calendar.
     """
-    best = F.max_by(F.struct("window_to", "plain"), F.struct("rank", "observed_at", "observation_id"))
-    return rows.groupBy(*KEYS, "start").agg(best.alias("_best")).select(*KEYS, "start", "_best.*")
-
-
-def versions(rows: DataFrame) -> DataFrame:
-    """Each version with the days it was valid: ``account_id, fact, kind, valid_from, valid_to`` as strings, '' for no end."""
-    w = Window.partitionBy(*KEYS).orderBy("start")
+    held = bitemporal_ledger(rows).where("recorded_to IS NULL")
+    w = Window.partitionBy(*KEYS).orderBy("valid_from")
     broken = (
         F.lag("plain").over(w).isNull()
         | (F.lag("plain").over(w) != F.col("plain"))
-        | F.coalesce(F.lag("window_to").over(w) < F.date_sub("start", 1), F.lit(False))
-    )
-    first = present_rows(rows).withColumn("_new", broken.cast("int")).withColumn("_version", F.sum("_new").over(w))
-    spans = first.groupBy(*KEYS, "_version").agg(F.min("start").alias("_from"), F.max_by("window_to", "start").alias("_to"))
-    after = F.date_sub(F.lead("_from").over(Window.partitionBy(*KEYS).orderBy("_version")), 1)
-    return spans.withColumn("_end", F.least(after, "_to")).select(
-        *KEYS, F.col("_from").cast("string").alias("valid_from"), F.coalesce(F.col("_end").cast("string"), F.lit("")).alias("valid_to")
+        | F.coalesce(F.lag("valid_to").over(w) < F.date_sub("valid_from", 1), F.lit(False))
     )
+    first = held.withColumn("_new", broken.cast("int")).withColumn("_version", F.sum("_new").over(w))
+    spans = first.groupBy(*KEYS, "_version").agg(F.min("valid_from").alias("_from"), F.max_by("valid_to", "valid_from").alias("_to"))
+    return spans.select(*KEYS, F.col("_from").cast("string").alias("valid_from"), F.coalesce(F.col("_to").cast("string"), F.lit("")).alias("valid_to"))

@@ -99,6 +99,16 @@ def test_ledger_holds_the_belief_of_every_instant(spark):
                 assert [r.observation_id for r in seen if r.valid_from <= day and (r.valid_to is None or day <= r.valid_to)] == want
 
 
+def test_versions_come_from_the_open_slice(spark, monkeypatch):
+    d, t = date, datetime
+    rows = spark.createDataFrame([(1, "a", "rate", "", d(2024, 1, 1), "5", None, None, "statement", t(2024, 1, 2), ""), (2, "a", "rate", "", d(2024, 2, 1), "6", None, d(2024, 5, 1), "statement", t(2024, 3, 10), "")], OBS)
+    whole = history.bitemporal_ledger
+    got = {tuple(r)[3:] for r in history.versions(history.readings(rows)).collect()}
+    assert got == {("2024-01-01", "2024-01-31"), ("2024-02-01", "2024-05-01")}
+    monkeypatch.setattr(history, "bitemporal_ledger", lambda rows: whole(rows).where("plain = '5.000000'"))
+    assert {tuple(r)[3:] for r in history.versions(history.readings(rows)).collect()} == {("2024-01-01", "2024-01-31")}
+
+
 def held(value):
     if isinstance(value, str) and value[:1] in ("{", "["):
         try:
