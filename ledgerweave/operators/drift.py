@@ -13,13 +13,15 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from datetime import datetime, timezone
+from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.artefacts import decode, flat_fields, read_records
+from ..sources.artefacts import decode, flat_fields, read_records, unwrapped
 
 PROFILE = (
     "arrival_seq bigint, source string, fetched_at timestamp, kind string, n_records int, "
@@ -175,12 +177,29 @@ def derive_renames(versions: DataFrame, follows: float = 0.95, explains: float =
     return ranked.where("_s = _new AND _s = _old").select("source", "old_name", F.col("new_key").alias("new_name"))
 
 
-def changes(versions: DataFrame, renames: DataFrame) -> DataFrame:
-    """``source, fingerprint, field_name, change_kind`` for every fingerprint, by the migration steps given."""
+def chained(renames: DataFrame) -> DataFrame:
+    """Rename steps with every chain of them closed: a name that took over a later name also took over what that one had."""
+    steps = renames.select("source", "old_name", F.lower(F.trim("new_name")).alias("new_name")).distinct()
+    held, n = steps, steps.count()
+    while True:
+        on = [F.col("a.source").eqNullSafe(F.col("b.source")), F.col("a.new_name") == F.lower(F.trim("b.old_name"))]
+        more = held.alias("a").join(steps.alias("b"), on).select("a.source", "a.old_name", "b.new_name").where("lower(trim(old_name)) <> new_name")
+        held = held.union(more).distinct().localCheckpoint()
+        if (now := held.count()) == n:
+            return held
+        n = now
+
+
+def applied_renames(versions: DataFrame, renames: DataFrame) -> DataFrame:
+    """The fingerprints with their renames as ``applied``: the documented field is missing and the new name is there."""
     steps = renames.groupBy(F.col("source").alias("_source")).agg(F.collect_set(F.struct("old_name", "new_name")).alias("steps"))
     v = versions.join(F.broadcast(steps), F.col("source") == F.col("_source"), "left").withColumn("steps", F.expr("coalesce(steps, array())"))
-    v = v.withColumn("applied", F.expr("filter(steps, s -> array_contains(missing, s.old_name) AND exists(undocumented, u -> lower(trim(u)) = s.new_name))"))
-    return v.select(
+    return v.withColumn("applied", F.expr("filter(steps, s -> array_contains(missing, s.old_name) AND exists(undocumented, u -> lower(trim(u)) = s.new_name))"))
+
+
+def changes(versions: DataFrame, renames: DataFrame) -> DataFrame:
+    """``source, fingerprint, field_name, change_kind`` for every fingerprint, by the migration steps given."""
+    return applied_renames(versions, renames).select(
         "source",
         "fingerprint",
         F.inline(
@@ -197,43 +216,192 @@ def schema_changes(artefacts: DataFrame, schemas: DataFrame, renames: DataFrame
     """Every change of every artefact: ``arrival_seq, field_name, change_kind``. Migration steps are derived unless given."""
     marks = fingerprints(profiles(artefacts), documented(schemas)).checkpoint()
     versions = schema_versions(marks)
-    found = changes(versions, derive_renames(versions) if renames is None else renames)
+    found = changes(versions, derive_renames(versions) if renames is None else chained(renames))
     return marks.select("arrival_seq", "source", "fingerprint").join(found, ["source", "fingerprint"]).select("arrival_seq", "field_name", "change_kind").distinct()
 
 
-RECORDS = "arrival_seq bigint, source string, kind string, record_no int, fields map<string, string>"
+RECORDS = (
+    "arrival_seq bigint, source string, kind string, version int, record_no int, fields map<string, string>, typed string, delivered string, steps array<string>"
+)
+
+_MONEY = re.compile(r"\s*(?:([A-Za-z]{3})\s*|[£€$]\s*)?([+-]?)\s*[£€$]?(\d[\d,]*(?:\.\d+)?|\.\d+)\s*([A-Za-z]{3})?\s*")
+_DAY = re.compile(r"(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?))?\s*(Z|[+-]\d{2}:?\d{2})?")
+_PRINTED = re.compile(r"(\d{1,2})/(\d{1,2})/(\d{4})(?:[T ](\d{2}:\d{2}(?::\d{2})?))?")
+
+
+_encode = json.JSONEncoder(ensure_ascii=False).encode
+
+
+def _as_text(value: object) -> str | None:
+    return value if isinstance(value, str) or value is None else _encode(value)
+
+
+def _instant(value: object) -> datetime | None:
+    """An instant or day that is written in ISO, as dd/mm/yyyy or as seconds or milliseconds since 1970."""
+    text = str(value).strip()
+    try:
+        if re.fullmatch(r"\d{9,14}", text):
+            return datetime.fromtimestamp(int(text) / (1000 if len(text) > 11 else 1), timezone.utc)
+        if m := _DAY.fullmatch(text):
+            found = datetime.fromisoformat(f"{m[1]}-{m[2]}-{m[3]}T{m[4] or '00:00'}{m[5] or ''}")
+            return found if found.tzinfo else found.replace(tzinfo=timezone.utc)
+        if m := _PRINTED.fullmatch(text):
+            return datetime.fromisoformat(f"{m[3]}-{int(m[2]):02d}-{int(m[1]):02d}T{m[4] or '00:00'}").replace(tzinfo=timezone.utc)
+    except (ValueError, OverflowError, OSError):
+        pass
+    return None
+
+
+def cast_to(value: object, kind: str, cell: bool) -> object:
+    """A value that has another type or format than documented in the documented one; None when no rule reads it.
+
+    A whole number in a cell of two decimal places counts minor units, as in the common columns.
+    """
+    text = value.strip() if isinstance(value, str) else value
+    if kind == "string":
+        return _as_text(value)
+    if kind in ("integer", "number", "decimal, 2 places"):
+        if isinstance(value, (bool, dict, list)):
+            return None
+        if isinstance(text, str):
+            m = _MONEY.fullmatch(text)
+            if not m:
+                return None
+            amount = Decimal(m[2] + m[3].replace(",", ""))
+        else:
+            amount = Decimal(str(text))
+        if not amount.is_finite():
+            return None
+        if kind == "integer":
+            return int(amount) if amount == amount.to_integral_value() else None
+        if kind == "number":
+            return amount
+        if cell and isinstance(text, str) and "." not in text:
+            amount /= 100
+        return amount.quantize(Decimal("0.01"), ROUND_HALF_UP)
+    if kind == "boolean":
+        return {"true": True, "yes": True, "1": True, "false": False, "no": False, "0": False}.get(str(text).lower())
+    if kind == "iso timestamp":
+        at = None if isinstance(value, (bool, dict, list)) else _instant(value)
+        return None if at is None else at.isoformat().replace("+00:00", "Z")
+    if kind == "date dd/mm/yyyy":
+        at = None if isinstance(value, (bool, dict, list)) else _instant(value)
+        return None if at is None else f"{at.day:02d}/{at.month:02d}/{at.year:04d}"
+    if kind == "time hh:mm:ss":
+        m = re.fullmatch(r"(?:.*[T ])?(\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?Z?", str(text))
+        return f"{int(m[1]):02d}:{m[2]}:{m[3] or '00'}" if m and int(m[1]) < 24 and int(m[2]) < 60 else None
+    held = unwrapped(value)
+    if kind == "object":
+        return held if isinstance(held, dict) else None
+    if kind == "array of objects":
+        return held if isinstance(held, list) else [held] if isinstance(held, dict) else None
+    return value
+
+
+def _typed(value: object, kind: str | None, cell: bool) -> str:
+    """JSON text of a value that fits its documented type."""
+    if cell and kind == "decimal, 2 places" and isinstance(value, str):
+        return str(Decimal(value.strip())) if value.strip() else "null"
+    return str(value) if isinstance(value, Decimal) else _encode(value)
+
+
+class Rules:
+    """How the records of one schema version become as documented: `docs` has type and optionality of the source's documented fields in
+    their order, `moves` the documented name of every new name (lower case)."""
+
+    def __init__(self, docs: dict[str, tuple[str, bool]], moves: dict[str, str], cell: bool) -> None:
+        self.moves, self.cell = moves, cell
+        self.keys = {n.strip().lower(): n for n in docs} if cell else {}
+        self.closed = tuple(f"{n}." for n, (kind, _) in docs.items() if kind == "array of objects") or ("\0",)
+        self.docs = {n: d for n, d in docs.items() if not n.startswith(self.closed)}
+        self.arrays = {n for n, (kind, _) in self.docs.items() if kind == "array of objects"}
+        self.money = [n for n, (kind, _) in self.docs.items() if kind in ("decimal, 2 places", "number")]
+        self.checked = [(n, kind, FITTING[kind]) for n, (kind, _) in self.docs.items() if kind in FITTING]
+
+    def record(self, pairs: Iterable[tuple[str, object]]) -> tuple[dict[str, str | None], str, dict[str, str], list[str]]:
+        """One record: rename steps, then defaults, then casts.
+
+        Gives the fields as text and as JSON of the documented types, the cells as delivered that a cast changed or could not read, and the steps
+        taken. A missing field gets null, a missing required currency the one of the record's amount, else GBP; an absent optional
+        field is no step. Of two cells of one name the first that says something counts; a single object where an array is documented
+        becomes its only element.
+        """
+        cell, out, steps = self.cell, {}, []
+        for name, value in pairs:
+            if name.startswith(self.closed):
+                continue
+            if name in self.arrays and isinstance(value, dict):
+                value = [value]
+            key = name.strip().lower()
+            own = self.moves.get(key) or self.keys.get(key) or name
+            if own in out and value_class(out[own], cell) is not None:
+                if own == name or name in out:
+                    continue
+                own = name
+            elif key in self.moves:
+                steps.append(f"rename {name} to {own}")
+            out[own] = value
+        code = None
+        for name in self.money:
+            if code is None and isinstance(out.get(name), str) and (m := _MONEY.fullmatch(out[name])):
+                code = (m[1] or m[4] or "").upper() or None
+        for name, (_, optional) in self.docs.items():
+            if name not in out:
+                out[name] = (code or "GBP") if not optional and name.rpartition(".")[2].lower() == "currency" else None
+                if not optional:
+                    steps.append(f"default {name}")
+        delivered: dict[str, str] = {}
+        for name, kind, fits in self.checked:
+            value = out[name]
+            if value is not None and (c := value_class(value, cell)) is not None and c not in fits:
+                out[name], delivered[name] = cast_to(value, kind, cell), _as_text(value)
+                steps.append(f"cast {name} to {kind}" if out[name] is not None else f"unread {name}")
+        typed = ", ".join([f"{_encode(n)}: {_typed(v, self.docs[n][0] if n in self.docs else None, cell)}" for n, v in out.items()])
+        fields = {n: v if v is None or isinstance(v, str) else str(v) if isinstance(v, Decimal) else _encode(v) for n, v in out.items()}
+        return fields, f"{{{typed}}}", delivered, steps
 
 
 def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    text = lambda v: v if isinstance(v, str) or v is None else json.dumps(v, ensure_ascii=False)
+    known: dict[tuple, Rules] = {}
     for pdf in batches:
         out = []
-        for seq, source, payload in pdf[["arrival_seq", "source", "payload"]].itertuples(index=False):
+        for seq, source, payload, version, docs, moves in pdf[["arrival_seq", "source", "payload", "version", "docs", "moves"]].itertuples(index=False):
             found = read_records(decode(payload))
-            for k, record in enumerate(found[1] if found else ()):
-                pairs = flat_fields(record) if found[0] == "json" else record.items()
-                out.append((seq, source, found[0], k, {n: text(v) for n, v in pairs}))
-        yield pd.DataFrame(out, columns=["arrival_seq", "source", "kind", "record_no", "fields"])
+            if not found:
+                continue
+            cell = found[0] != "json"
+            if (docs, moves, cell) not in known:
+                held = sorted(json.loads(docs), key=lambda d: d.get("no", 0)) if docs else ()
+                steps = {m["new_name"]: m["old_name"] for m in json.loads(moves)} if moves else {}
+                known[docs, moves, cell] = Rules({d["name"]: (d.get("kind", ""), d["optional"]) for d in held}, steps, cell)
+            rules = known[docs, moves, cell]
+            for k, record in enumerate(found[1]):
+                fields, typed, delivered, steps = rules.record(record.items() if cell else flat_fields(record))
+                out.append((seq, source, found[0], version, k, fields, typed, _encode(delivered), steps))
+        yield pd.DataFrame(out, columns=["arrival_seq", "source", "kind", "version", "record_no", "fields", "typed", "delivered", "steps"]).astype({"version": "Int32"})
 
 
 def consistent_records(artefacts: DataFrame, schemas: DataFrame, renames: DataFrame | None = None) -> DataFrame:
-    """One table of all records, whatever their source's version: renames undone, defaults filled in, cells cast.
+    """One table of all records: each brought from its schema version to the documentation by renames, then defaults, then casts.
 
-    Gives ``arrival_seq, record_no, source, fields`` (by documented names, additions kept) and the common columns ``value_date,
-    amount_minor`` (money out negative as the source signs it), ``currency, description, counterparty``. A cell that no cast rule
-    reads is null in its common column and stays in ``fields``.
+    Gives ``arrival_seq, record_no, source, version`` (of the source's schema), ``fields`` (text by documented names, every documented
+    field outside arrays, additions kept), ``typed`` (the same as JSON of the documented types), ``delivered`` (cells as they came that
+    a cast changed or could not read), ``steps`` (in the order taken) and the common columns ``value_date, amount_minor`` (money out
+    negative as the source signs it), ``currency, description, counterparty``. A cell that no cast rule reads is null in ``fields``
+    and in its common column and stays in ``delivered``.
     """
-    if renames is None:
-        renames = derive_renames(schema_versions(fingerprints(profiles(artefacts), documented(schemas)).checkpoint()))
-    steps = renames.groupBy(F.col("source").alias("_s")).agg(F.map_from_entries(F.collect_list(F.struct("new_name", "old_name"))).alias("steps"))
-    names = schemas.groupBy(F.col("source").alias("_d")).agg(F.map_from_entries(F.collect_set(F.struct(F.lower(F.trim("field_name")), F.col("field_name")))).alias("names"))
-    rows = artefacts.select("arrival_seq", "source", "payload").mapInPandas(_records, RECORDS)
-    rows = rows.join(F.broadcast(steps), F.col("source") == F.col("_s"), "left").join(F.broadcast(names), F.col("source") == F.col("_d"), "left")
-    # A renamed field takes its documented name back; file headers take the documented spelling.
-    named = F.expr("""map_from_entries(transform(map_entries(fields), e -> named_struct(
-        'key', coalesce(try_element_at(steps, lower(trim(e.key))), if(kind = 'json', NULL, try_element_at(names, lower(trim(e.key)))), e.key), 'value', e.value)))""")
-    rows = rows.withColumn("fields", named)
-    cell = lambda *keys: F.coalesce(*[F.nullif(F.trim(F.expr(f"try_element_at(fields, '{k}')")), F.lit("")) for k in keys])
+    marks = fingerprints(profiles(artefacts), documented(schemas)).checkpoint()
+    versions = schema_versions(marks)
+    steps = derive_renames(versions) if renames is None else chained(renames)
+    plans = applied_renames(versions, steps).select(F.col("source").alias("_s"), F.col("fingerprint").alias("_f"), "version", F.to_json("applied").alias("moves"))
+    routed = marks.select("arrival_seq", "source", "fingerprint").join(plans, F.col("source").eqNullSafe(F.col("_s")) & (F.col("fingerprint") == F.col("_f")))
+    routed = routed.groupBy(F.col("arrival_seq").alias("_seq")).agg(F.min("version").alias("version"), F.min_by("moves", "version").alias("moves"))
+    doc = F.struct(F.col("field_name").alias("name"), F.col("field_type").alias("kind"), F.coalesce("optional", F.lit(False)).alias("optional"), F.col("field_no").alias("no"))
+    docs = schemas.where("field_name IS NOT NULL").groupBy(F.col("source").alias("_d")).agg(F.to_json(F.array_sort(F.collect_set(doc))).alias("docs"))
+    rows = artefacts.select("arrival_seq", "source", "payload").join(routed, F.col("arrival_seq").eqNullSafe(F.col("_seq")), "left").join(F.broadcast(docs), F.col("source") == F.col("_d"), "left")
+    rows = rows.select("arrival_seq", "source", "payload", "version", "docs", "moves").mapInPandas(_records, RECORDS)
+    rows = rows.withColumn("delivered", F.from_json("delivered", "map<string,string>"))
+    cell = lambda *keys: F.coalesce(*[F.nullif(F.trim(F.expr(f"coalesce(try_element_at(delivered, '{k}'), try_element_at(fields, '{k}'))")), F.lit("")) for k in keys])
     day, money = cell("Date", "D", "timestamp", "transactionTime"), cell("Amount", "Amount (GBP)", "T", "amount")
     epoch = F.when(day.rlike("^[0-9]{9,}$"), F.when(F.length(day) > 11, day.try_cast("bigint") / 1000).otherwise(day.try_cast("bigint")))
     read_day = F.coalesce(
@@ -244,7 +412,7 @@ def consistent_records(artefacts: DataFrame, schemas: DataFrame, renames: DataFr
     minor = cell("amount.minorUnits").try_cast("bigint")
     signed = F.when(F.upper(cell("direction")) == "OUT", -minor).otherwise(minor)
     return rows.select(
-        "arrival_seq", "record_no", "source", "fields", read_day.alias("value_date"),
+        "arrival_seq", "record_no", "source", "version", "fields", "typed", "delivered", "steps", read_day.alias("value_date"),
         F.when(minor.isNotNull(), signed).otherwise(pence).alias("amount_minor"),
         F.upper(F.coalesce(cell("Currency", "currency", "amount.currency"), F.lit("GBP"))).alias("currency"),
         cell("description", "Description", "reference", "Reference", "M").alias("description"),

@@ -59,7 +59,7 @@ def p5_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared_folder(spark)
     rows = drift.consistent_records(read_table(spark, sf_dir, "raw_artefacts"), read_table(spark, sf_dir, "source_schemas"))
-    return rows.withColumn("fields", F.to_json("fields"))
+    return rows.withColumn("fields", F.col("typed")).withColumn("delivered", F.to_json("delivered")).drop("typed")
 
 
 QUERIES = {"p4_found": p4_found, "p4_periods": p4_periods, "p5_found": p5_found, "p5_tables": p5_tables, "p6_found": p6_found, "p6_ledger": p6_ledger, "p6_slices": p6_slices, "p7_found": p7_found, "p7_records": p7_records}

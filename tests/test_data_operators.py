@@ -166,3 +166,20 @@ def test_schema_changes(spark):
     table = {(r.arrival_seq, r.record_no): r for r in drift.consistent_records(spark.createDataFrame(rows, RAW), schemas).collect()}
     assert table[1, 0].amount_minor == 100 and table[2, 1].value_date == date(2024, 2, 2) and table[2, 0].counterparty == "x"
     assert drift.schema_changes(spark.createDataFrame([], RAW), schemas).count() == 0
+
+
+def test_records_are_renamed_then_defaulted_then_cast(spark):
+    schemas = spark.createDataFrame(
+        [("c", "Date", "date dd/mm/yyyy", False, 1), ("c", "Name", "text", False, 2), ("c", "Amount", "decimal, 2 places", False, 3), ("c", "Currency", "text", False, 4), ("c", "Note", "text", True, 5), ("j", "id", "string", False, 1), ("j", "at", "iso timestamp", False, 2), ("j", "amount", "number", False, 3), ("j", "n", "integer", False, 4), ("j", "legs", "array of objects", True, 5), ("j", "legs.x", "integer", False, 6)], SCH
+    )
+    rows = [(1, "c", None, None, b"Date,Name,Amount,Currency\n01/02/2024,x,1.00,GBP\n", ""), (2, "c", None, None, b"Date,Beneficiary,Amount\n2024-02-01,y,EUR 1234.50\n2024-02-02,z,bad\n", "")]
+    rows += [(3, "j", None, None, json.dumps({"results": [{"id": 7, "at": 1763100000, "amount": "11.99 GBP", "legs": {"x": 1}}]}).encode(), "")]
+    renames = spark.createDataFrame([("c", "Name", "Payee"), ("c", "Payee", "Beneficiary")], "source string, old_name string, new_name string")
+    got = {(r.arrival_seq, r.record_no): r for r in drift.consistent_records(spark.createDataFrame(rows, RAW), schemas, renames).collect()}
+    assert got[1, 0].fields == {"Date": "01/02/2024", "Name": "x", "Amount": "1.00", "Currency": "GBP", "Note": None} and got[1, 0].steps == []
+    assert json.loads(got[2, 0].typed) == {"Date": "01/02/2024", "Name": "y", "Amount": 1234.5, "Currency": "EUR", "Note": None}
+    assert got[2, 0].steps == ["rename Beneficiary to Name", "default Currency", "cast Date to date dd/mm/yyyy", "cast Amount to decimal, 2 places"]
+    assert got[2, 0].delivered == {"Date": "2024-02-01", "Amount": "EUR 1234.50"} and got[2, 0].currency == "EUR" and got[2, 0].amount_minor == 123450
+    assert got[2, 1].fields["Amount"] is None and got[2, 1].delivered["Amount"] == "bad" and "unread Amount" in got[2, 1].steps
+    assert got[1, 0].version != got[2, 0].version
+    assert json.loads(got[3, 0].typed) == {"id": "7", "at": "2025-11-14T06:00:00Z", "amount": 11.99, "n": None, "legs": [{"x": 1}]}
