@@ -25,6 +25,7 @@ from uuid import uuid4
 import numpy as np
 import pandas as pd
 import xxhash
+from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -122,10 +123,31 @@ def _shared(a: str, b: str) -> Column:
 
 
 class FingerprintStore:
-    """A persistent, append-only store of record sets, prints and Bloom filters in a shared folder."""
+    """A persistent, append-only store of record sets, prints and Bloom filters in a shared folder, with one writer at a time.
+
+    A batch counts once its commit marker is there. A store opened again goes on after the last such batch; what an unfinished batch
+    left is written anew.
+    """
 
     def __init__(self, spark: SparkSession, path: str, threshold: float = THRESHOLD) -> None:
-        self.spark, self.path, self.threshold, self.batches = spark, path, threshold, 0
+        self.spark, self.path, self.threshold = spark, path, threshold
+        self.batches = self._completed()
+
+    def _marker(self, batch: int) -> tuple[JavaObject, JavaObject]:
+        """The file system and the path of a batch's commit marker."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/batch={batch}")
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _completed(self) -> int:
+        k = 0
+        while (mark := self._marker(k))[0].exists(mark[1]):
+            k += 1
+        return k
+
+    def _commit(self) -> None:
+        files, at = self._marker(self.batches)
+        files.create(at, False).close()
+        self.batches += 1
 
     def _read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(*[f"{self.path}/{table}/batch={k}" for k in range(self.batches)])
@@ -144,6 +166,7 @@ class FingerprintStore:
 
         Gives ``arrival_seq, repeats`` for the rows that repeat an earlier one. Batches are to come in the order of time.
         """
+        self.batches = self._completed()
         order = F.struct("at", "arrival_seq")
         sets = (
             signed.groupBy("scope", "hashes")
@@ -194,16 +217,20 @@ class FingerprintStore:
         fresh = self._write(fresh.select("set_id", "first", "hashes"), "sets")
         fresh_prints = self._write(prints.join(fresh.select("set_id"), "set_id", "left_semi").select("print", "set_id", "first", "bucket"), "prints")
         self._write(fresh_prints.select("bucket", "print").distinct().groupBy("bucket").applyInPandas(_fill, "bucket int, bits binary"), "filters")
-        self.batches += 1
+        self._commit()
         return found
 
 
 def repeated_deliveries(artefacts: DataFrame, batches: int = 3, path: str | None = None) -> DataFrame:
-    """Replay all artefacts in `batches` spans of time through one store: ``seq_a, seq_b``, the smaller number first."""
+    """Replay all artefacts in `batches` spans of time through one store: ``seq_a, seq_b``, the smaller number first.
+
+    The store at `path` goes on where it stands: the artefacts are later ones, tied to what it holds too. Without a path it is a new one.
+    """
     spark = artefacts.sparkSession
     path = path or f"{shared_folder(spark)}/deliveries-{uuid4().hex}"
-    signatures(artefacts).write.parquet(f"{path}/signed")
-    signed = spark.read.parquet(f"{path}/signed").dropDuplicates(["arrival_seq"])
+    own = f"{path}/signed/run={uuid4().hex}"
+    signatures(artefacts).write.parquet(own)
+    signed = spark.read.parquet(own).dropDuplicates(["arrival_seq"])
     cuts = signed.where("at > -4000000000000000000").agg(F.percentile_approx("at", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
     store, found = FingerprintStore(spark, path), None
     for low, high in zip([None, *cuts], [*cuts, None]):

@@ -53,6 +53,26 @@ def test_repeated_deliveries_equal_brute_force(spark, batches):
     assert {tuple(r) for r in got} == expected(rows) and len(got) == len(expected(rows))
 
 
+def test_a_store_goes_on_where_it_was_left(spark, tmp_path):
+    rng, t0 = random.Random(4), datetime(2024, 1, 1)
+    base = [(date(2024, 1, 1) + timedelta(k), rng.randint(100, 999)) for k in range(60)]
+    rows = [(k, rng.choice(["a", "b"]), "s", t0 + timedelta(hours=k), feed(base[(a := rng.choice([0, 1, 20, 21])) : a + 20]), "x") for k in range(24)]
+    parts, path = (rows[:9], rows[9:16], rows[16:]), f"file://{tmp_path}/store"
+    frames = [spark.createDataFrame(p, RAW) for p in parts]
+    first = delivery_dedup.FingerprintStore(spark, path)
+    got = first.add(delivery_dedup.signatures(frames[0])).collect()
+    held = {t: set((tmp_path / "store" / t / "batch=0").iterdir()) for t in ("sets", "prints", "filters", "found")}
+    again = delivery_dedup.FingerprintStore(spark, path)
+    # What a batch left that never finished does not count and is in nobody's way.
+    again._write(again._read("sets"), "sets")
+    again = delivery_dedup.FingerprintStore(spark, path)
+    assert first.batches == again.batches == 1
+    got += again.add(delivery_dedup.signatures(frames[1])).collect()
+    assert all(set((tmp_path / "store" / t / "batch=0").iterdir()) == files for t, files in held.items())
+    pairs = {(min(r), max(r)) for r in map(tuple, got)} | {tuple(r) for r in delivery_dedup.repeated_deliveries(frames[2], 2, path).collect()}
+    assert pairs == expected(rows) and len({b for _, b in pairs if b >= 9}) > 5
+
+
 def test_no_deliveries(spark):
     assert delivery_dedup.repeated_deliveries(spark.createDataFrame([], RAW)).count() == 0
 
