@@ -71,12 +71,28 @@ def printed_accounts(rows: DataFrame, accounts: DataFrame) -> DataFrame:
     return votes.groupBy("statement_id").agg(F.max_by("account_id", F.struct("n", -F.col("d"), "account_id")).alias("account_id"))
 
 
+def beginnings(told: Column) -> Column:
+    """The first four letters of each longer word."""
+    return F.transform(F.filter(told, lambda w: F.length(w) >= 4), lambda w: F.substring(w, 1, 4))
+
+
 def met_accounts(rows: DataFrame, payments: DataFrame) -> DataFrame:
-    """``statement_id, account_id`` for statements without a readable name: the account that has most of its amounts on their days."""
-    own = rows.where("value_date IS NOT NULL").select("statement_id", "row_id", F.abs("amount").alias("_abs"), F.explode(F.sequence(F.date_sub("value_date", 1), F.date_add("value_date", 1))).alias("_day"))
-    hits = own.join(payments.select(F.abs("t_amount").alias("_abs"), F.col("booked").alias("_day"), "account_id"), ["_abs", "_day"])
-    votes = hits.groupBy("statement_id", "account_id").agg(F.count_distinct("row_id").alias("n")).where("n >= 2")
-    return votes.groupBy("statement_id").agg(F.max_by("account_id", F.struct("n", "account_id")).alias("account_id"))
+    """``statement_id, account_id`` for statements without a readable name: the account that has most of its amounts on their days.
+
+    A line that shares the beginning of a word with what it meets counts twice. Two lines suffice, or one that shares a word, unless
+    another account has as much evidence as that one line.
+    """
+    own = rows.where("value_date IS NOT NULL").select(
+        "statement_id", "row_id", F.abs("amount").alias("_abs"), words(F.col("description")).alias("_words"), F.explode(F.sequence(F.date_sub("value_date", 1), F.date_add("value_date", 1))).alias("_day")
+    )
+    paid = payments.select(F.abs("t_amount").alias("_abs"), F.col("booked").alias("_day"), "account_id", "description", "counterparty")
+    hits = own.join(paid, ["_abs", "_day"])
+    shared = F.coalesce(F.arrays_overlap(beginnings(F.col("_words")), beginnings(F.array_union(words(F.col("description")), words(F.col("counterparty"))))), F.lit(False))
+    hits = hits.groupBy("statement_id", "account_id", "row_id").agg(F.max(shared.cast("int")).alias("_shared"))
+    votes = hits.groupBy("statement_id", "account_id").agg(F.count(F.lit(1)).alias("n"), F.sum("_shared").alias("w")).where("n + w >= 2")
+    best = votes.groupBy("statement_id").agg(F.max_by(F.struct("account_id", "n"), F.struct(F.expr("n + w"), "n", "account_id")).alias("_best"), F.max(F.expr("n + w")).alias("_most"), F.collect_list(F.expr("n + w")).alias("_all"))
+    settled = F.expr("_best.n >= 2 OR size(filter(_all, x -> x = _most)) = 1")
+    return best.where(settled).select("statement_id", "_best.account_id")
 
 
 def statement_lines(statements: DataFrame, accounts: DataFrame, payments: DataFrame) -> DataFrame:
@@ -140,8 +156,7 @@ def candidates(lines: DataFrame, payments: DataFrame) -> DataFrame:
     told = met.join(lines.where("NOT decoy").select("row_id", "r_words"), "row_id")
     told = told.withColumn("t_words", words(F.col("description"))).withColumn("p_words", words(F.col("counterparty")))
     told = told.withColumn("t_flat", F.regexp_replace(F.lower(F.coalesce("description", F.lit(""))), "[^a-z]", "")).drop("description", "counterparty")
-    begins = lambda ws: F.transform(F.filter(ws, lambda w: F.length(w) >= 4), lambda w: F.substring(w, 1, 4))
-    common = F.arrays_overlap(begins(F.col("r_words")), begins(F.array_union("t_words", "p_words")))
+    common = F.arrays_overlap(beginnings(F.col("r_words")), beginnings(F.array_union("t_words", "p_words")))
     return told.where((F.abs("amount") == F.abs("t_amount")) | F.coalesce(common, F.lit(False)))
 
 

@@ -157,6 +157,20 @@ def test_linkage_finds_the_planted_pairs(spark):
     assert len(pairs & truth) >= 0.93 * len(truth) and len(pairs & truth) >= 0.95 * len(pairs)
 
 
+def test_one_line_places_a_statement_without_a_name(spark):
+    d = date
+    lines = spark.createDataFrame(
+        [(1, "s1", d(2023, 10, 17), "REEVOVA BKS ROSTANE", -658), (2, "s1", d(2023, 10, 1), "BROUGHT FORWARD", 90000), (3, "s2", d(2023, 10, 17), "ZARN MEDIA", -700), (4, "s3", d(2023, 10, 17), "QUIBBLE GARAGE", -900), (5, "s4", d(2023, 10, 17), "PLUNK DENTAL", -800)],
+        "row_id bigint, statement_id string, value_date date, description string, amount bigint",
+    )
+    payments = spark.createDataFrame(
+        [("e1", "a1", -658, "Reevova Books Co"), ("e2", "a2", -658, "Wirnen Upholstery"), ("e3", "a1", -700, "Zarn Media"), ("e4", "a2", -700, "Zarn Media"), ("e5", "a2", -900, "Other Words"), ("e6", "a2", -800, "Plunk Dental"), ("e6", "a2", -800, "Plunk Dental")],
+        "entity_id string, account_id string, t_amount bigint, description string",
+    ).selectExpr("*", "DATE '2023-10-18' AS booked", "CAST(NULL AS string) AS counterparty")
+    got = {tuple(r) for r in linkage.met_accounts(lines, payments).collect()}
+    assert got == {("s1", "a1"), ("s4", "a2")}
+
+
 def test_linkage_of_empty_tables(spark):
     lines, payments, accounts, _ = household(spark)
     assert linkage.link(lines.where("row_id < 0"), payments, accounts).count() == 0
