@@ -1,8 +1,8 @@
 """Deeply nested JSON payloads to flat child rows that keep the link to their parent.
 
 Only the bytes-to-text step is Python. The walk is one projection: nested ``transform`` calls attach ancestor paths and positions,
-``flatten`` joins the arrays of a level, ``inline`` emits rows. The number of levels comes from the data (the deepest bracket nesting),
-so no depth is cut off.
+``flatten`` joins the arrays of a level, ``inline`` emits rows. The number of levels comes from the data (the deepest walk, an
+object under a name taken as an array of one), so no depth is cut off.
 
 Edge cases: unreadable, empty and null payloads and payloads whose top is no object give no rows; null and scalar elements count in
 positions but are no rows; a string that holds a serialised object or array counts as what it holds; an array name met as a single
@@ -69,7 +69,7 @@ def nested_rows(artefacts: DataFrame, schemas: DataFrame) -> DataFrame:
         )
     )
     parts: list[DataFrame] = []
-    left = depth + 1
+    left = max(depth, 1)
     while left > 0:
         step = min(left, LEVELS_PER_PASS)
         found = []
@@ -80,6 +80,8 @@ def nested_rows(artefacts: DataFrame, schemas: DataFrame) -> DataFrame:
         left -= step
         if left > 0:
             state = state.select("arrival_seq", "listed", F.col(f"n{step}").alias("n0")).where("size(n0) > 0").checkpoint()
+            if state.isEmpty():
+                break
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.union(part)

@@ -99,19 +99,48 @@ def load_json(text: str) -> Any:
 
 
 def bracket_depth(text: str) -> int:
-    """An upper bound of the nesting, serialised strings included."""
+    """The nesting of brackets, serialised strings included; brackets in other strings count too."""
     b = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
     step = ((b == 123) | (b == 91)).astype(np.int32) - ((b == 125) | (b == 93)).astype(np.int32)
     return int(np.cumsum(step).max(initial=0))
 
 
+def levels(doc: Any) -> int:
+    """The levels of a walk through a document: serialised strings opened, every object under a name counted as wrapped in an array.
+
+    A string that only looks serialised counts by its opening brackets.
+    """
+    deepest, open_values = 0, [(doc, 0)]
+    while open_values:
+        value, level = open_values.pop()
+        if isinstance(value, str):
+            value = value.lstrip()
+            if value[:1] not in ("{", "["):
+                continue
+            found = load_json(value)
+            if not isinstance(found, (dict, list)):
+                deepest = max(deepest, level + 2 * (value.count("{") + value.count("[")))
+                continue
+            value = found
+        if isinstance(value, dict):
+            deepest = max(deepest, level)
+            for v in value.values():
+                if isinstance(v, (dict, list, str)):
+                    single = isinstance(v, dict) or (isinstance(v, str) and v.lstrip()[:1] == "{")
+                    open_values.append((v, level + 1 + single))
+        elif isinstance(value, list):
+            deepest = max(deepest, level)
+            open_values.extend((v, level + 1) for v in value if isinstance(v, (dict, list, str)))
+    return deepest
+
+
 def _json_text(payload: pd.Series) -> pd.DataFrame:
     out = []
     for raw in payload:
         text = decode(raw)
         text = text.strip() if text else None
-        if text and text[0] == "{" and isinstance(load_json(text), dict):
-            out.append((text, bracket_depth(text)))
+        if text and text[0] == "{" and isinstance(doc := load_json(text), dict):
+            out.append((text, max(levels(doc), bracket_depth(text) + 1)))
         else:
             out.append((None, None))
     return pd.DataFrame(out, columns=["text", "depth"], dtype=object)
@@ -122,7 +151,7 @@ def _payload_text(payload: pd.Series) -> pd.Series:
 
 
 def json_text(payload: Column | str) -> Column:
-    """``struct<text, depth>`` of a payload that is a readable JSON object; null fields otherwise."""
+    """``struct<text, depth>`` of a payload that is a readable JSON object, depth being the levels of a walk; null fields otherwise."""
     return F.pandas_udf(_json_text, JSON_TEXT)(payload)
 
 

@@ -152,6 +152,18 @@ def test_nested_rows_equal_a_recursive_walk(spark):
     assert nested.nested_rows(spark.createDataFrame([], RAW), schemas).count() == 0
 
 
+def test_single_objects_under_array_names_are_walked_to_the_end(spark):
+    lone = {"feedItems": [{"attachments": {"pages": {"lines": {"x": 1}}}}]}
+    shut = {"feedItems": [{"note": "]]]]}}}}", "attachments": [{"pages": [{"lines": [{"x": {"y": [{}]}}]}]}]}]}
+    names = ("attachments", "attachments.pages", "attachments.pages.lines")
+    schemas = spark.createDataFrame([("s", n, "array of objects", True, k) for k, n in enumerate(names)], SCH)
+    for doc in (lone, shut):
+        want = set()
+        walk(doc, "", "", {n.rpartition(".")[2] for n in names}, want)
+        rows = spark.createDataFrame([(1, "s", None, None, json.dumps(doc).encode(), "")], RAW)
+        assert {(r.node_path, r.parent_path) for r in nested.nested_rows(rows, schemas).collect()} == want
+
+
 def test_schema_changes(spark):
     schemas = spark.createDataFrame(
         [("c", "Date", "date dd/mm/yyyy", False, 1), ("c", "Name", "text", False, 2), ("c", "Amount", "decimal, 2 places", False, 3), ("c", "Note", "text", True, 4), ("j", "id", "string", False, 1), ("j", "amount", "object", False, 2), ("j", "amount.minor", "integer", False, 3), ("j", "legs", "array of objects", True, 4)], SCH
