@@ -184,7 +184,7 @@ def chained(renames: DataFrame) -> DataFrame:
     while True:
         on = [F.col("a.source").eqNullSafe(F.col("b.source")), F.col("a.new_name") == F.lower(F.trim("b.old_name"))]
         more = held.alias("a").join(steps.alias("b"), on).select("a.source", "a.old_name", "b.new_name").where("lower(trim(old_name)) <> new_name")
-        held = held.union(more).distinct().localCheckpoint()
+        held = held.union(more).distinct().checkpoint()
         if (now := held.count()) == n:
             return held
         n = now

@@ -9,9 +9,15 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; only where it is unset (tests) one is made."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
+
+    Only where it is unset and the session runs on one machine (tests, bench) one is made; a cluster without it is refused, for a
+    machine's own folder is not shared.
+    """
     have = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not have:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset; name a folder that all executors share")
         have = "file://" + tempfile.mkdtemp(prefix="ledgerweave-")
         spark.conf.set("spark.checkpoint.dir", have)
     if spark.sparkContext.getCheckpointDir() is None:

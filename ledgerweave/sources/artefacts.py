@@ -36,8 +36,9 @@ JSON_TEXT = T.StructType().add("text", T.StringType()).add("depth", T.IntegerTyp
 
 
 def inflate(raw: bytes) -> bytes | None:
-    """Undo compression, also when applied more than once; None when a compressed body is damaged."""
-    for _ in range(4):
+    """Undo compression, however often it was applied; None when a compressed body is damaged or holds itself."""
+    while True:
+        packed = raw
         try:
             if raw[:2] == b"\x1f\x8b":
                 raw = gzip.decompress(raw)
@@ -56,7 +57,8 @@ def inflate(raw: bytes) -> bytes | None:
                 return raw
         except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError):
             return None
-    return raw
+        if raw == packed:
+            return None
 
 
 def decode(raw: bytes | None) -> str | None:

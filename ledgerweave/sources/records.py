@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import re
+from decimal import Decimal, InvalidOperation
 
 # The names, lower case, under which sources put a record's day, amount, counterparty, text, lasting id and currency.
 DAY_FIELDS = ("timestamp", "transactiontime", "occurredat", "date", "d")
@@ -44,12 +45,12 @@ def minor_units(value: object, minor: bool = False) -> int | None:
     `minor`, already counts minor units."""
     if value is None or isinstance(value, bool):
         return None
-    if isinstance(value, (int, float)):
-        return round(value) if minor else round(value * 100)
-    text = re.sub(r"[^0-9.\-]", "", str(value))
+    text = str(value) if isinstance(value, (int, float)) else re.sub(r"[^0-9.\-]", "", str(value))
     try:
-        return round(float(text) * 100) if "." in text and not minor else round(float(text))
-    except (ValueError, OverflowError):
+        exact = Decimal(text)
+        major = not minor and ("." in text or isinstance(value, (int, float)))
+        return int((exact * 100 if major else exact).to_integral_value()) if exact.is_finite() else None
+    except (InvalidOperation, ValueError, OverflowError):
         return None
 
 
