@@ -1,241 +1,243 @@
 """Free typing to the entry of a canonical list, by token repair and soft TF-IDF.
 
-Distinct values break into word variants (words, neighbours joined, run-together words split before a trade word). Distinct variants join
-the list's name words by edit distance through shared deletions, so no pair is looked at that does not share one. Repaired names lead to
-entries; the score of an entry is soft TF-IDF over its name and trade words, where a trade word also counts when abbreviated. The entry
-with the best score is meant if it is good enough and alone; several equally good ones stay as alternatives that a second value may
-settle.
-
-The list is small and fixed (its words are broadcast behind a size check); values are not, and each distinct one is handled once.
-
-Edge cases: null, blank and placeholder values name nobody; values that name someone not on the list give 0; equal scores that nothing
-settles give 0; repeated rows give one result; an empty list maps everything to 0; extra columns are ignored.
+Texts fold to phrases (lower-case words, digits that stand for letters undone), and only distinct phrases and distinct tokens are worked on.
+Each distinct token is repaired once against the list's vocabulary: equal words, words within edit distance (found through shared
+deletions, so no pair is looked at that shares none), words begun or abbreviated, and tokens that run several words together or are
+halves of one. The corrected tokens of a phrase are then combined: an entry scores the soft TF-IDF mass of its words that the phrase
+has, in any order, over the mass of all its words, lowered by the mass of list words in the phrase that are not the entry's. An entry
+above ``LEAST`` is met through one of its weightiest words, because the others alone cannot reach it: the postings of common words
+are never read, and no list is too long. The best entry is meant if it stands alone; equally good ones stay as alternatives that a
+second value may settle.
+
+Edge cases: null and blank values name nobody; a value that names someone not on the list gives 0; so do equal scores that nothing
+settles; words of an entry's town or sector never count against it; repeated rows give one result; an empty list maps everything to 0;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from collections.abc import Iterator
+import math
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The most entries of a canonical list whose words are shipped to every executor.
-LIST_BOUND = 20_000
+from ..functions.text import case_folded, decomposed
+
 #: The least score of an entry that is meant.
-LEAST = 0.62
+LEAST = 0.42
+#: The score of an entry of which a phrase has all words that name it and no other.
+NAMED = 0.7
+#: Scores closer than this are equally good.
+MARGIN = 0.02
+#: Letters up to which words meet in shared deletions; beyond, in shared pieces.
+LONG = 38
+#: From this many different entries beside it on, a value without any word of the list is a placeholder and names nobody.
+PLACEHOLDER_ENTRIES = 3
+#: Phrases that name nobody even in tables too small to show it.
+PLACEHOLDERS = ("n a", "na", "none", "null", "unknown", "tbc", "misc")
 
-# Words that name nobody, whatever they stand next to.
-PLACEHOLDERS = frozenset("misc receipt see n a na none null unknown tbc tba various other sundry nil unsure todo dunno".split())
-# Words of payment descriptors and company forms.
-FURNITURE = frozenset("pos card payment to contactless pq dd ref ltd plc limited llp inc co company the and sons son gb uk pd paid at for from visa purchase direct debit".split())
+# Digits typed for letters.
+DIGITS, LETTERS = "013457", "oieast"
+# Company forms and articles, which name nobody by themselves.
+COMPANY_FORMS = ("co", "company", "corp", "inc", "limited", "llp", "ltd", "plc", "the", "and", "sons")
+# How a descriptor prints a day.
+DAY = r"^\d{1,2}(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\d*$"
 
-VARIANTS = "text string, someone boolean, trades array<struct<trade: string, sim: double>>, variants array<struct<word: string, trade: string, cost: int>>"
+ALTS = "array<struct<ws: array<struct<w: string, g: double>>, sim: double>>"
 
 
-# Digits typed for letters.
-LETTERS_OF_DIGITS = str.maketrans("013457", "oieast")
-
-
-def plain_words(text: str) -> list[str]:
-    """Lower-case words without accents; digits inside a word that stand for letters become those, other words with digits drop out."""
-    folded = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).casefold()
-    folded = re.sub(r"[’'`]", "", folded)
-    words = [w.translate(LETTERS_OF_DIGITS) if not w.isdigit() else w for w in re.findall(r"[^\W_]+", folded)]
-    return [w for w in words if not any(c.isdigit() for c in w)]
-
-
-def edits(a: str, b: str, most: int) -> int:
-    """Edit distance with swapped neighbours as one edit; `most` + 1 when it is larger."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    older, old = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            d = min(old[j] + 1, now[j - 1] + 1, old[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, older[j - 2] + 1)
-            now.append(d)
-        if min(now) > most:
-            return most + 1
-        older, old = old, now
-    return old[-1]
-
-
-def abbreviates(short: str, word: str) -> bool:
-    """Whether `short` keeps some letters of `word` in order, the first among them."""
-    if not short or short[0] != word[0] or len(short) >= len(word):
-        return False
-    rest = iter(word)
-    return all(c in rest for c in short)
-
-
-def trade_of(word: str, trades: list[str]) -> dict[str, float]:
-    """The trades that a word may stand for, with a similarity."""
-    out = {}
-    for trade in trades:
-        if word == trade:
-            return {trade: 1.0}
-        if len(word) >= 3 and trade.startswith(word):
-            out[trade] = 0.9
-        elif len(word) >= 3 and abbreviates(word, trade):
-            out[trade] = 0.85
-        elif len(word) >= 4:
-            most = 1 if len(trade) < 7 else 2
-            d = edits(word, trade, most)
-            if d <= most:
-                out[trade] = 0.95 - 0.1 * d
-    return out
-
-
-def _break(trades: list[str]):
-    initials, longest = {t[0] for t in trades}, max(map(len, trades), default=0) + 2
-    known: dict[str, dict[str, float]] = {}
-
-    def trades_of(word: str) -> dict[str, float]:
-        if word not in known:
-            if len(known) > 100_000:
-                known.clear()
-            known[word] = trade_of(word, trades)
-        return known[word]
-
-    def variants(words: list[str]) -> dict[tuple[str, str | None], int]:
-        found: dict[tuple[str, str | None], int] = {}
-
-        def keep(word: str, trade: str | None, cost: int) -> None:
-            if len(word) >= 3:
-                found[word, trade] = min(cost, found.get((word, trade), 9))
-
-        for i, word in enumerate(words):
-            keep(word, None, 0)
-            if i + 1 < len(words):
-                keep(word + words[i + 1], None, 1)
-            if i + 2 < len(words) and len(word) + len(words[i + 1]) + len(words[i + 2]) <= 24:
-                keep(word + words[i + 1] + words[i + 2], None, 1)
-            runs = [word]
-            if i + 1 < len(words) and len(words[i + 1]) <= 12:
-                runs.append(word + words[i + 1])
-            for run in runs:
-                bare = run[3:] if run.startswith("the") and len(run) > 8 else None
-                for body in filter(None, (run, bare)):
-                    for k in range(3, len(body) - 1):
-                        tail, head = body[k:], body[:k]
-                        tail = tail[4:] if tail.startswith("sons") and len(tail) > 6 else tail
-                        tail = tail[:-2] if tail.endswith("co") and len(tail) > 6 else tail
-                        if len(tail) >= 3 and (tail[0] in initials) and len(tail) <= longest:
-                            for trade, sim in trades_of(tail).items():
-                                if sim >= 0.85:
-                                    keep(head, trade, 1)
-                    for end in ("sons", "co", "ltd", "plc"):
-                        if body.endswith(end) and len(body) > len(end) + 3:
-                            keep(body[: -len(end)], None, 1)
-                    if body is bare:
-                        keep(bare, None, 1)
-        return found
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                words = plain_words(text)
-                someone = any(len(w) >= 3 and w not in PLACEHOLDERS and w not in FURNITURE for w in words)
-                found: dict[str, float] = {}
-                for w in words:
-                    if w not in FURNITURE:
-                        for trade, sim in trades_of(w).items():
-                            found[trade] = max(sim, found.get(trade, 0))
-                out.append((text, someone, [{"trade": t, "sim": s} for t, s in found.items()], [{"word": w, "trade": t, "cost": c} for (w, t), c in variants(words).items()]))
-            yield pd.DataFrame(out, columns=["text", "someone", "trades", "variants"])
-
-    return run
-
-
-def deletions(word: str) -> str:
-    """SQL for the distinct strings that a word leaves with up to two letters deleted."""
+def tokens(text: Column) -> Column:
+    """Lower-case words without accents; digits in a word of at least as many letters become letters, other words
+    with digits and days drop out."""
+    folded = F.regexp_replace(case_folded(decomposed(text)), r"[’'`]", "")
+    words = F.split(folded, r"[^\p{L}\p{N}]+")
+    letters = lambda w: F.length(F.regexp_replace(w, r"\p{N}", ""))
+    spelled = F.transform(words, lambda w: F.when(w.rlike(r"\p{N}"), F.when((2 * letters(w) >= F.length(w)) & ~w.rlike(DAY), F.translate(w, DIGITS, LETTERS))).otherwise(w))
+    return F.filter(spelled, lambda w: w.isNotNull() & (w != "") & ~w.rlike(r"\p{N}"))
+
+
+def phrase(text: Column) -> Column:
+    """The tokens of a text in one string; '' when it has none."""
+    return F.coalesce(F.concat_ws(" ", tokens(text)), F.lit(""))
+
+
+def deletions(word: str, twice: int) -> Column:
+    """The distinct strings that a word leaves with one letter deleted, or up to two from a length of `twice` on."""
     one = "transform(sequence(1, length({0})), i -> concat(substr({0}, 1, i - 1), substr({0}, i + 1)))"
-    return f"array_distinct(concat(array({word}), {one.format(word)}, if(length({word}) > 4, flatten(transform({one.format(word)}, w -> if(length(w) > 0, {one.format('w')}, array('')))), CAST(array() AS array<string>))))"
+    two = f"flatten(transform({one.format(word)}, w -> {one.format('w')}))"
+    return F.expr(f"array_distinct(concat(array({word}), {one.format(word)}, if(length({word}) >= {twice}, {two}, CAST(array() AS array<string>))))")
 
 
-def repairs(variants: DataFrame, names: DataFrame) -> DataFrame:
-    """``word, name, dist``: the list's name words within reach of each distinct variant, swapped neighbours counting one."""
-    left = variants.select("word").distinct().where("length(word) BETWEEN 3 AND 40").select("word", F.explode(F.expr(deletions("word"))).alias("_key"))
-    right = names.select("name", F.explode(F.expr(deletions("name"))).alias("_key"))
-    near = left.join(F.broadcast(right), "_key").select("word", "name").distinct()
-    near = near.withColumn("dist", F.levenshtein("word", "name"))
-    swapped = (F.col("dist") == 2) & (F.array_sort(F.split("word", "")) == F.array_sort(F.split("name", ""))) & (F.length("word") == F.length("name"))
-    near = near.withColumn("dist", F.when(swapped, 1).otherwise(F.col("dist")))
-    return near.where(F.col("dist") <= F.when(F.length("name") < 5, 0).when(F.length("name") < 6, 1).otherwise(2))
+def segments(length: str, pick: str) -> str:
+    """SQL for the three pieces into which a form of `length` letters is cut: of two edits one leaves a piece whole. `pick` maps ``i, start, size``."""
+    return f"transform(array(0, 1, 2), i -> named_struct('i', i, 'start', i * ({length} div 3) + 1, 'size', if(i < 2, {length} div 3, {length} - 2 * ({length} div 3)), 'whole', {length}))".join(["transform(", f", s -> {pick})"])
 
 
-def list_words(entries: DataFrame) -> tuple[DataFrame, list[str]]:
-    """The entries as ``merchant_id, name, trade, name_weight, trade_weight`` and the list of trades.
+def repairs(words: DataFrame, forms: DataFrame, longest: int) -> DataFrame:
+    """``token, form, dist``: the forms within reach of each distinct token, swapped neighbours counting one.
 
-    A name is what is left of an entry without company forms and its trade, written together; weights are squared inverse document
-    frequencies over the list.
+    Reach: none below four letters, one edit below six, two from then on; tokens more than two letters longer than the `longest` form
+    reach none. Short forms and tokens meet in shared deletions, longer ones in shared pieces.
     """
-    rows = entries.where("merchant IS NOT NULL AND merchant_id IS NOT NULL").select("merchant_id", "merchant", F.lower("sector").alias("trade")).distinct().limit(LIST_BOUND + 1).toPandas()
-    if len(rows) > LIST_BOUND:
-        raise ValueError(f"a canonical list of more than {LIST_BOUND} entries")
-    rows["name"] = ["".join(w for w in plain_words(m) if w not in FURNITURE and w != t) for m, t in zip(rows["merchant"], rows["trade"])]
-    n = max(len(rows), 1)
-    import math
-
-    weight = lambda column: {v: max(math.log(n / k), 0.1) ** 2 for v, k in rows[column].value_counts().items()}
-    names, trades = weight("name"), weight("trade")
-    out = [(int(i), name, t or "", names[name], trades.get(t, 0.1)) for i, name, t in zip(rows["merchant_id"], rows["name"], rows["trade"]) if name]
-    schema = "merchant_id bigint, name string, trade string, name_weight double, trade_weight double"
-    return entries.sparkSession.createDataFrame(out, schema), sorted({t for _, _, t, _, _ in out if t})
-
-
-def match_texts(texts: DataFrame, entries: DataFrame) -> DataFrame:
-    """For every distinct ``text``: ``someone`` (it names somebody), ``merchant_id`` (0 for none) and ``choices`` (equally good ids)."""
-    words, trades = list_words(entries)
-    broken = texts.where("text IS NOT NULL").select("text").distinct().mapInPandas(_break(trades), VARIANTS).checkpoint()
-    each = broken.select("text", "trades", F.inline("variants"))
-    fixed = repairs(each, words.select("name").distinct())
-    hits = (
-        each.join(fixed, "word")
-        .join(F.broadcast(words.withColumnRenamed("trade", "own_trade")), "name")
-        # A run-together word carries its trade; otherwise the best trade of the other words counts.
-        .withColumn("_best", F.expr("coalesce(array_max(transform(trades, t -> t.sim)), 0D)"))
-        .withColumn("_own", F.expr("coalesce(array_max(transform(filter(trades, t -> t.trade = own_trade), t -> t.sim)), 0D)"))
-        .withColumn("name_sim", F.expr("1 - (dist + 0.4 * cost) / length(name)"))
-        .withColumn("trade_sim", F.expr("CASE WHEN trade IS NOT NULL THEN if(trade = own_trade, 0.9D, 0D) WHEN _best = 0 THEN NULL WHEN _own >= _best - 0.1 THEN _own ELSE 0D END"))
-    )
-    # Soft TF-IDF; a value without any trade word is compared by its name alone, and slightly less sure.
-    score = F.expr("""CASE WHEN trade_sim IS NULL THEN 0.97 * name_sim
-        WHEN trade_sim = 0 THEN 0D
-        ELSE (name_weight * name_sim + trade_weight * trade_sim) / (name_weight + trade_weight) END""")
-    near = F.expr("trade_sim IS NOT NULL OR dist <= if(length(name) < 8, 1, 2)")
-    scored = hits.withColumn("score", score).where((F.col("score") >= LEAST) & near).groupBy("text", "merchant_id").agg(F.max(F.struct("score", "dist")).alias("s"))
-    top = scored.withColumn("_top", F.max("s.score").over(Window.partitionBy("text"))).where("s.score >= _top - 0.02")
-    best = top.groupBy("text").agg(F.sort_array(F.collect_set("merchant_id")).alias("choices"))
-    return broken.select("text", "someone").join(best, "text", "left").select(
-        "text", "someone", F.expr("if(size(choices) = 1, choices[0], 0L)").alias("merchant_id"), F.coalesce("choices", F.array().cast("array<bigint>")).alias("choices")
-    ).withColumn("merchant_id", F.coalesce("merchant_id", F.lit(0).cast("long")))
-
-
-def meant_merchants(events: DataFrame, groups: DataFrame, entries: DataFrame) -> DataFrame:
+    left = words.select("token").where(f"length(token) BETWEEN 3 AND {longest + 2}").distinct()
+    right = forms.where("length(form) > 3").select("form").distinct()
+    near = left.where(f"length(token) <= {LONG + 2}").select("token", F.explode(deletions("token", 6)).alias("_key")).join(right.where(f"length(form) <= {LONG}").select("form", F.explode(deletions("form", 6)).alias("_key")), "_key")
+    if longest > LONG:
+        key = "concat_ws(':', s.whole, s.i, substr({0}, s.start + {1}, s.size))"
+        mine = segments("whole", "transform(sequence(-2, 2), d -> if(s.start + d > 0, " + key.format("token", "d") + ", ''))")
+        long_left = left.where(f"length(token) > {LONG - 2}").withColumn("whole", F.explode(F.expr("sequence(length(token) - 2, length(token) + 2)"))).select("token", F.explode(F.expr(f"array_distinct(flatten({mine}))")).alias("_key"))
+        long_right = right.where(f"length(form) > {LONG}").select("form", F.explode(F.expr(segments("length(form)", key.format("form", "0")))).alias("_key"))
+        near = near.unionByName(long_left.join(long_right, "_key"))
+    near = near.select("token", "form").distinct()
+    swap = "levenshtein(token, form, 2) = 2 AND length(token) = length(form) AND array_sort(split(token, '')) = array_sort(split(form, ''))"
+    near = near.withColumn("dist", F.expr(f"if({swap}, 1, levenshtein(token, form, 2))"))
+    return near.where("dist >= 0 AND dist <= if(length(form) < 6, 1, 2)")
+
+
+def shortened(words: DataFrame, common: DataFrame) -> DataFrame:
+    """``token, form, sim``: tokens of three letters or more that begin a word or keep some of its letters in order, the first among them."""
+    short = words.select("token").where("length(token) > 2").distinct().withColumn("_key", F.substring("token", 1, 1)).withColumn("_next", F.substring("token", 2, 1))
+    long = common.select("form", F.substring("form", 1, 1).alias("_key"), F.explode(F.expr("array_distinct(split(substr(form, 2), ''))")).alias("_next"))
+    kept = F.expr("aggregate(split(token, ''), 1, (p, c) -> if(p = 0, 0, coalesce(nullif(locate(c, form, p), 0) + 1, 0))) > 0")
+    met = short.join(long, ["_key", "_next"]).where("length(token) < length(form)").where(kept)
+    return met.select("token", "form", F.when(F.expr("startswith(form, token)"), 0.9).otherwise(0.85).alias("sim"))
+
+
+class CanonicalList:
+    """The list's entries, vocabulary and postings as tables of any size."""
+
+    def __init__(self, entries: DataFrame, least: float = LEAST) -> None:
+        rows = entries.where("merchant IS NOT NULL AND merchant_id IS NOT NULL").select(F.col("merchant_id").cast("bigint").alias("merchant_id"), F.array_distinct(tokens(F.col("merchant"))).alias("names"), F.array_union(F.coalesce(tokens(F.col("sector")), F.array().cast("array<string>")), F.coalesce(tokens(F.col("town")), F.array().cast("array<string>"))).alias("aside"))
+        rows = rows.where("size(names) > 0").distinct().checkpoint()
+        n = max(rows.count(), 1)
+        each = rows.select("merchant_id", "names", "aside", F.explode("names").alias("w"))
+        #: Squared inverse document frequency of every word of an entry.
+        self.weights = each.groupBy("w").agg(F.count_distinct("merchant_id", "names").alias("df")).select("w", "df", F.pow(F.log(1 + F.lit(float(n)) / F.col("df")), 2).alias("g")).checkpoint()
+        held = each.join(self.weights, "w").groupBy("merchant_id", "names", "aside").agg(F.array_sort(F.collect_list(F.struct((-F.col("g")).alias("neg"), "w"))).alias("_ws"))
+        held = held.select("merchant_id", "names", "aside", F.transform("_ws", lambda x: F.struct(x["w"].alias("w"), (-x["neg"]).alias("g"))).alias("ws"))
+        # What names an entry: its words but for those of its sector or town and of very many entries; all words where nothing else is left.
+        usual = math.log(1 + n / max(n**0.5, 5.0)) ** 2
+        forms = ", ".join(f"'{w}'" for w in COMPANY_FORMS)
+        telling = F.expr(f"transform(filter(ws, x -> NOT array_contains(aside, x.w) AND NOT array_contains(array({forms}), x.w) AND x.g > {usual} + 1e-9), x -> x.w)")
+        held = held.withColumn("own", telling).withColumn("own", F.expr("if(size(own) = 0, names, own)"))
+        held = held.withColumn("mass", F.expr("aggregate(ws, 0D, (a, x) -> a + x.g)"))
+        # The words without which the rest of the entry stays below the least score.
+        needed = F.expr(f"transform(filter(transform(ws, (x, i) -> named_struct('w', x.w, 'rest', aggregate(slice(ws, i + 1, size(ws)), 0D, (a, y) -> a + y.g))), x -> x.rest >= {least} * mass), x -> x.w)")
+        self.postings = held.select("merchant_id", "names", "aside", "own", "ws", "mass", F.explode(F.array_union(needed, "own")).alias("w")).checkpoint()
+        # Words, all words of an entry in one, and all but one in one.
+        joined = F.expr("""filter(concat(transform(names, x -> named_struct('form', x, 'words', array(x))),
+            array(named_struct('form', array_join(names, ''), 'words', names)),
+            transform(names, (x, i) -> named_struct('form', array_join(filter(names, (y, j) -> j <> i), ''), 'words', filter(names, (y, j) -> j <> i)))), f -> f.form <> '')""")
+        aside = rows.select(F.explode("aside").alias("form")).select("form", F.array("form").alias("words"))
+        #: ``form, words``: every spelling that stands for words of the list.
+        self.forms = rows.select(F.inline(joined)).unionByName(aside).distinct().checkpoint()
+        self.longest = self.forms.agg(F.max(F.length("form"))).first()[0] or 0
+        #: Words of very many entries, and with those of sectors and towns the words that people shorten.
+        self.frequent = self.weights.where(F.col("df") >= max(n**0.5, 5.0)).select(F.col("w").alias("form"))
+        self.common = self.frequent.unionByName(aside.select("form")).where("length(form) > 3").distinct().checkpoint()
+
+    def readings(self, words: DataFrame) -> DataFrame:
+        """``token, alts``: what each distinct token may stand for, as weighted words with a similarity."""
+        words = words.select("token").distinct()
+        exact = words.join(self.forms.withColumnRenamed("form", "token"), "token").withColumn("sim", F.lit(1.0)).checkpoint()
+        open_words = words.join(exact, "token", "left_anti")
+        fixed = repairs(open_words, self.forms, self.longest).join(self.forms, "form").select("token", "words", F.expr("1 - dist / length(form)").alias("sim")).checkpoint()
+        # A shortened word or a half is no longer than the longest form.
+        open_words = open_words.where(f"length(token) <= {2 * self.longest + 1}")
+        short = shortened(open_words.where(f"length(token) < {self.longest}"), self.common).select("token", F.array("form").alias("words"), "sim")
+        # Words run together, one of them repaired and the other whole or shortened.
+        loose = open_words.join(fixed.where("sim >= 0.85"), "token", "left_anti").where(f"length(token) BETWEEN 6 AND {2 * self.longest + 1}")
+        parts = loose.select("token", F.explode(F.expr("transform(sequence(3, length(token) - 3), k -> named_struct('a', substr(token, 1, k), 'b', substr(token, k + 1)))")).alias("p"))
+        parts = parts.select("token", F.explode(F.array(F.struct(F.col("p.a").alias("part"), F.col("p.b").alias("rest")), F.struct(F.col("p.b").alias("part"), F.col("p.a").alias("rest")))).alias("p")).select("token", "p.*")
+        pieces = parts.select(F.col("part").alias("token")).distinct()
+        whole = pieces.join(self.forms.where("length(form) > 2").withColumnRenamed("form", "token"), "token").withColumn("sim", F.lit(1.0))
+        sure = whole.unionByName(shortened(pieces, self.common).select("token", F.array("form").alias("words"), "sim")).withColumnRenamed("token", "part").checkpoint()
+        halves = parts.join(sure, "part").checkpoint()
+        rests = halves.select(F.col("rest").alias("token")).distinct()
+        known = rests.join(self.forms.withColumnRenamed("form", "token"), "token").withColumn("sim", F.lit(1.0))
+        near = repairs(rests.join(known, "token", "left_anti"), self.forms, self.longest).where("dist = 1").join(self.forms, "form").select("token", "words", F.expr("1 - dist / length(form)").alias("sim"))
+        other = known.unionByName(near).select(F.col("token").alias("rest"), F.col("words").alias("more"), F.col("sim").alias("other"))
+        glued = halves.join(other, "rest").select("token", F.array_union("words", "more").alias("words"), F.expr("least(sim, other) - 0.02").alias("sim"))
+        found = exact.unionByName(fixed).unionByName(short).unionByName(glued)
+        return self.weighed(found).groupBy("token").agg(F.collect_list(F.struct("ws", "sim")).alias("alts"))
+
+    def weighed(self, found: DataFrame) -> DataFrame:
+        """``token, ws, sim``: each alternative once, with the weights of its words; words of towns and sectors alone weigh nothing."""
+        best = found.groupBy("token", F.array_sort("words").alias("words")).agg(F.max("sim").alias("sim"))
+        each = best.select("token", "words", "sim", F.explode("words").alias("w")).join(self.weights, "w", "left")
+        return each.groupBy("token", "words").agg(F.max("sim").alias("sim"), F.collect_list(F.struct("w", F.coalesce("g", F.lit(0.0)).alias("g"))).alias("ws")).drop("words")
+
+
+def phrase_readings(phrases: DataFrame, held: CanonicalList) -> DataFrame:
+    """``phrase, reads``: the readings of a phrase's tokens, and of neighbours that only together may be a word."""
+    words = phrases.where("phrase <> ''").select("phrase", F.posexplode(F.split("phrase", " ")).alias("pos", "token"))
+    read = held.readings(words).join(F.broadcast(held.frequent.select(F.col("form").alias("token"), F.lit(True).alias("usual"))), "token", "left").checkpoint()
+    sure = F.expr("usual IS NULL AND exists(alts, a -> a.sim >= 0.95)")
+    mine = words.join(read, "token", "left").select("phrase", "pos", "token", F.coalesce("alts", F.array().cast(ALTS)).alias("alts"), F.coalesce(sure, F.lit(False)).alias("sure"))
+    whole = mine.groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "sure", "alts"))).alias("ts")).checkpoint()
+    # Neighbours of which none is surely a word of the list, two and three at a time, with their places.
+    tied = F.expr("""concat(
+        filter(transform(ts, (t, i) -> if(NOT t.sure AND NOT coalesce(get(ts, i + 1).sure, true), named_struct('token', concat(t.token, get(ts, i + 1).token), 'first', i, 'last', i + 1), NULL)), x -> x IS NOT NULL),
+        filter(transform(ts, (t, i) -> if(NOT t.sure AND NOT coalesce(get(ts, i + 1).sure, true) AND NOT coalesce(get(ts, i + 2).sure, true), named_struct('token', concat(t.token, get(ts, i + 1).token, get(ts, i + 2).token), 'first', i, 'last', i + 2), NULL)), x -> x IS NOT NULL))""")
+    pairs = whole.select("phrase", F.inline(tied))
+    met = pairs.select("token").distinct()
+    exact = met.join(held.forms.withColumnRenamed("form", "token"), "token").select("token", "words", F.lit(0.98).alias("sim"))
+    near = repairs(met, held.forms, held.longest).join(held.forms, "form").select("token", "words", F.expr("0.98 - dist / length(form)").alias("sim"))
+    each = held.weighed(exact.unionByName(near))
+    extra = pairs.join(each, "token").groupBy("phrase").agg(F.collect_list(F.struct("first", "last", F.struct("ws", "sim").alias("alt"))).alias("more"))
+    # A token may also stand for its part of such a joined word.
+    own = F.expr("""filter(transform(ts, (t, i) -> named_struct('top', coalesce(array_max(transform(t.alts, a -> a.sim)), 0D),
+        'alts', concat(t.alts, transform(filter(coalesce(more, array()), m -> i BETWEEN m.first AND m.last), m -> m.alt)))), r -> size(r.alts) > 0)""")
+    return whole.join(extra, "phrase", "left").select("phrase", own.alias("reads")).where("size(reads) > 0")
+
+
+def match_phrases(phrases: DataFrame, entries: DataFrame) -> DataFrame:
+    """For every phrase that has words of the list: ``merchant_id`` (0 for none) and ``choices`` (equally good ids)."""
+    held = CanonicalList(entries)
+    reads = phrase_readings(phrases.select("phrase").distinct(), held).checkpoint()
+    words = reads.select("phrase", "reads", F.explode(F.expr("array_distinct(transform(flatten(transform(flatten(transform(reads, r -> r.alts)), a -> a.ws)), x -> x.w))")).alias("w"))
+    # An entry needs one of the words that name it, not only words that many share.
+    met = words.join(held.postings, "w").where(F.expr("exists(reads, r -> exists(r.alts, a -> exists(a.ws, x -> array_contains(own, x.w))))"))
+    hits = F.expr("""transform(ws, e -> named_struct('own', array_contains(own, e.w), 'g', e.g, 'sim',
+        coalesce(array_max(transform(filter(flatten(transform(reads, r -> r.alts)), x -> exists(x.ws, y -> y.w = e.w)), x -> x.sim)), 0D)))""")
+    has = F.expr("aggregate(_hits, 0D, (a, h) -> a + h.g * h.sim)")
+    # Of each token the reading that speaks least against the entry, among its best ones.
+    against = F.expr("""aggregate(filter(reads, r -> r.top > 0), 0D, (a, r) -> a + coalesce(array_min(transform(filter(r.alts, x -> x.sim >= r.top - 0.1),
+        x -> x.sim * aggregate(x.ws, 0D, (b, y) -> b + if(array_contains(names, y.w) OR array_contains(aside, y.w), 0D, y.g)))), 0D))""")
+    scored = met.withColumn("_hits", hits).withColumn("_has", has).withColumn("_against", against)
+    # A phrase with nothing but what names an entry names all entries of that name alike, whatever else they are called.
+    name_only = F.expr("NOT exists(_hits, h -> NOT h.own AND h.sim > 0)")
+    named = F.expr(f"{NAMED} * _has / aggregate(filter(_hits, h -> h.own), 0D, (a, h) -> a + h.g)")
+    scored = scored.withColumn("score", F.when(name_only, named).otherwise(F.expr("_has / mass")) * F.expr("pow(_has / (_has + _against), 2)")).where(F.col("score") >= LEAST)
+    each = scored.groupBy("phrase", "merchant_id").agg(F.max("score").alias("score")).groupBy("phrase").agg(F.collect_list(F.struct("score", "merchant_id")).alias("_s"))
+    choices = F.expr(f"array_sort(transform(filter(_s, x -> x.score >= array_max(_s).score - {MARGIN}), x -> x.merchant_id))")
+    found = reads.select("phrase").join(each.select("phrase", choices.alias("choices")), "phrase", "left")
+    return found.select("phrase", F.coalesce(F.expr("if(size(choices) = 1, choices[0], 0L)"), F.lit(0).cast("bigint")).alias("merchant_id"), F.coalesce("choices", F.array().cast("array<bigint>")).alias("choices"))
+
+
+def meant_merchants(events: DataFrame, groups: DataFrame, entries: DataFrame, placeholders: Sequence[str] = PLACEHOLDERS) -> DataFrame:
     """``row_kind, row_key, merchant_id`` for each distinct event and group; 0 for none of the list."""
-    e = events.select("event_id", "merchant", "description").where("event_id IS NOT NULL").dropDuplicates(["event_id"])
-    g = groups.select("group_id", "example").where("group_id IS NOT NULL").dropDuplicates(["group_id"])
-    texts = e.select(F.col("merchant").alias("text")).union(e.select("description")).union(g.select("example"))
-    matched = match_texts(texts, entries).checkpoint()
-
-    def side(name: str, key: str) -> DataFrame:
-        return matched.select(F.col("text").alias(key), F.struct("someone", "merchant_id", "choices").alias(name))
-
-    both = e.join(side("m", "merchant"), "merchant", "left").join(side("d", "description"), "description", "left")
+    e = events.where("event_id IS NOT NULL").select("event_id", phrase(F.col("merchant")).alias("m_phrase"), phrase(F.col("description")).alias("d_phrase")).dropDuplicates(["event_id"]).checkpoint()
+    g = groups.where("group_id IS NOT NULL").select("group_id", phrase(F.col("example")).alias("x_phrase")).dropDuplicates(["group_id"])
+    phrases = e.select(F.explode(F.array("m_phrase", "d_phrase")).alias("phrase")).union(g.select("x_phrase")).distinct()
+    matched = match_phrases(phrases, entries).checkpoint()
+
+    def side(name: str) -> DataFrame:
+        return matched.select(F.col("phrase").alias(f"{name}_phrase"), F.struct("merchant_id", "choices").alias(name))
+
+    both = e.join(side("m"), "m_phrase", "left").join(side("d"), "d_phrase", "left")
+    # A value without words of the list names somebody unless it stands beside several entries, as placeholders do.
+    beside = both.where("m IS NULL AND m_phrase <> '' AND d.merchant_id > 0").select("m_phrase", "d.merchant_id").distinct().groupBy("m_phrase").agg(F.count(F.lit(1)).alias("_n"))
+    vague = beside.where(F.col("_n") >= PLACEHOLDER_ENTRIES).select("m_phrase", F.lit(True).alias("_vague"))
+    nobody = (F.col("m_phrase") == "") | F.col("m_phrase").isin(*placeholders) | F.coalesce("_vague", F.lit(False))
     meant = F.expr("""CASE
         WHEN m.merchant_id > 0 THEN m.merchant_id
         WHEN size(m.choices) > 1 THEN CASE
           WHEN array_contains(m.choices, d.merchant_id) THEN d.merchant_id
-          WHEN size(array_intersect(m.choices, d.choices)) = 1 THEN array_intersect(m.choices, d.choices)[0] ELSE 0L END
-        WHEN m.someone THEN 0L
-        ELSE d.merchant_id END""")
-    found = both.select(F.lit("event").alias("row_kind"), F.col("event_id").alias("row_key"), F.coalesce(meant, F.lit(0).cast("long")).alias("merchant_id"))
-    grouped = g.join(side("x", "example"), "example", "left").select(F.lit("group").alias("row_kind"), F.col("group_id").alias("row_key"), F.coalesce("x.merchant_id", F.lit(0).cast("long")).alias("merchant_id"))
+          WHEN size(array_intersect(m.choices, d.choices)) = 1 THEN array_intersect(m.choices, d.choices)[0] ELSE 0L END""" + """
+        WHEN _nobody THEN d.merchant_id ELSE 0L END""")
+    decided = both.join(vague, "m_phrase", "left").withColumn("_nobody", nobody & F.col("m").isNull())
+    found = decided.select(F.lit("event").alias("row_kind"), F.col("event_id").alias("row_key"), F.coalesce(meant, F.lit(0).cast("bigint")).alias("merchant_id"))
+    grouped = g.join(side("x"), "x_phrase", "left").select(F.lit("group").alias("row_kind"), F.col("group_id").alias("row_key"), F.coalesce("x.merchant_id", F.lit(0).cast("bigint")).alias("merchant_id"))
     return found.unionByName(grouped)

@@ -128,6 +128,50 @@ def test_canonical_merchants(spark):
     assert len(none) == len(got) and all(r.merchant_id == 0 for r in none)
 
 
+def test_tokens_combine_in_any_order_and_number(spark):
+    entries = spark.createDataFrame([(1, "BP", "fuel", "T"), (2, "Harbour Light Bakery", "bakery", "T"), (3, "Old Harbour Books", "books", "U")], "merchant_id bigint, merchant string, sector string, town string")
+    cases = {1: ("BP", 1), 2: ("Harbour Bakery", 2), 3: ("Light Harbour Bakery", 2), 4: ("bp fuel T", 1), 5: ("Harbour", 0), 6: ("HARBUOR LIGTH BAKERY", 2), 7: ("oldharbourbooks", 3), 8: ("0ld Harb0ur B00ks", 3), 9: ("New Quay Books", 0), 10: ("Har bour Light Bkry", 2), 11: ("???", 0)}
+    events = spark.createDataFrame([(k, m, None) for k, (m, _) in cases.items()], "event_id bigint, merchant string, description string")
+    got = {r.row_key: r.merchant_id for r in canonical.meant_merchants(events, spark.createDataFrame([], "group_id bigint, example string"), entries).collect()}
+    assert got == {k: v for k, (_, v) in cases.items()}
+
+
+def test_long_words_are_repaired_like_short_ones(spark):
+    rng, letters = random.Random(6), "abcdefghij"
+    forms = ["".join(rng.choice(letters) for _ in range(rng.randint(4, 60))) for _ in range(60)]
+    words = []
+    for form in forms:
+        for _ in range(6):
+            w = list(form)
+            for _ in range(rng.randint(0, 3)):
+                k = rng.randrange(len(w))
+                w[k : k + rng.randint(0, 1)] = rng.choice(["", rng.choice(letters)])
+            words.append("".join(w) or "x")
+    words += ["y" * 5000, "abc"]
+
+    def edits(a, b):
+        old = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(old[j] + 1, new[-1] + 1, old[j - 1] + (x != y)))
+            old = new
+        return old[-1]
+
+    want = {(w, f) for w in set(words) for f in set(forms) if 3 <= len(w) and abs(len(w) - len(f)) <= 2 and edits(w, f) <= (1 if len(f) < 6 else 2)}
+    found = canonical.repairs(spark.createDataFrame([(w,) for w in words], "token string"), spark.createDataFrame([(f,) for f in forms], "form string"), max(map(len, forms)))
+    got = {(r.token, r.form) for r in found.collect()}
+    assert want <= got and all(sorted(w) == sorted(f) for w, f in got - want)
+
+
+def test_values_beside_many_entries_are_placeholders(spark):
+    names = ["Zarnwell Books", "Plunkett Dental", "Moorish Energy", "Quoskane Media"]
+    entries = spark.createDataFrame([(k, n, n.split()[1].lower(), "T") for k, n in enumerate(names, 1)], "merchant_id bigint, merchant string, sector string, town string")
+    rows = [(k, "see slip", n.upper()) for k, n in enumerate(names, 1)] + [(10, "Wosten", names[0]), (11, "unknown", names[1]), (12, None, names[2])]
+    got = {r.row_key: r.merchant_id for r in canonical.meant_merchants(spark.createDataFrame(rows, "event_id bigint, merchant string, description string"), spark.createDataFrame([], "group_id bigint, example string"), entries).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 10: 0, 11: 2, 12: 3}
+
+
 def household(spark):
     rng, lines, payments, truth = random.Random(9), [], [], set()
     names = ["Zarnwell Books", "Plunkett Dental", "Moorish Energy", "Quoskane Media", "Tholman Garage", "Vexley Wines"]
