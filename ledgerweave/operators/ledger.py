@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import content_key, entity_id
+
 
 def project_events(events: DataFrame) -> DataFrame:
     """The canonical ledger over the event stream: coarse amounts and few descriptions, so that rows collide."""
@@ -21,32 +23,13 @@ def project_events(events: DataFrame) -> DataFrame:
         F.concat(F.upper("event_type"), F.lit(" "), F.pmod("event_id", F.lit(4))).alias("description"),
         F.when(F.pmod("event_id", F.lit(11)) == 0, "pending").otherwise("booked").alias("status"),
         F.col("event_id").alias("arrival_seq"),
+        F.sha2(F.concat(F.lit("batch-"), F.floor(F.col("event_id") / 50).cast("string")), 256).alias("artefact_digest"),
     )
 
 
 # --- scalars -------------------------------------------------------------------------------------------------------------------
 
 
-def parse_amount(text: Column) -> Column:
-    """Minor units of a printed amount; null where it must be refused (no number, or parts of a penny)."""
-    bare = F.regexp_replace(F.trim(text), r"[,£+\s]", "")
-    negative = bare.rlike(r"^\(.*\)$")
-    digits = F.regexp_replace(bare, r"[()]", "")
-    minor = (digits.try_cast("decimal(38,2)") * 100).cast("long")
-    return F.when(digits.rlike(r"^-?[0-9]+(\.[0-9]{0,2}0*)?$"), F.when(negative, -minor).otherwise(minor))
-
-
-def format_amount(minor: Column) -> Column:
-    whole = F.abs(minor)
-    return F.concat(F.when(minor < 0, "-").otherwise(""), F.lit("£"), (F.floor(whole / 100)).cast("string"), F.lit("."), F.lpad((whole % 100).cast("string"), 2, "0"))
-
-
-def normalise_description(text: Column) -> Column:
-    """Lower case, volatile digits out, everything but letters and digits to one blank."""
-    lower = F.regexp_replace(F.lower(text), r"[0-9]{2,}", " ")
-    return F.trim(F.regexp_replace(lower, r"[^a-z0-9]+", " "))
-
-
 def group_key(text: Column) -> Column:
     return F.upper(F.trim(F.regexp_replace(F.regexp_replace(text, r"[0-9*#]+", ""), r"\s+", " ")))
 
@@ -55,19 +38,6 @@ def reference_coded(text: Column) -> Column:
     return F.coalesce(F.length(F.regexp_replace(text, r"[^0-9]", "")) / F.nullif(F.length(text), F.lit(0)) > 0.5, F.lit(False))
 
 
-def content_key(amount: Column, day: Column, description: Column) -> Column:
-    return F.sha2(F.concat_ws("\x1f", amount.cast("string"), day.cast("string"), normalise_description(description)), 256)
-
-
-def cadence(gap: Column) -> Column:
-    """The name of a usual gap between payments."""
-    steps = ((6, 8, "weekly"), (13, 15, "fortnightly"), (27, 32, "monthly"), (88, 95, "quarterly"), (360, 370, "annual"))
-    out = F.lit(None).cast("string")
-    for low, high, name in reversed(steps):
-        out = F.when(gap.between(low, high), name).otherwise(out)
-    return out
-
-
 def could_be_one_payment(a: str, b: str, same_content: Column) -> Column:
     """The decision ladder on two observations given by their column prefixes."""
     c = lambda side, name: F.col(f"{side}{name}")
@@ -87,15 +57,15 @@ def could_be_one_payment(a: str, b: str, same_content: Column) -> Column:
 
 
 def with_keys(ledger: DataFrame) -> DataFrame:
-    """Content key and occurrence number (equal content within account and source, in arrival order, from 0)."""
+    """Content key and occurrence number (equal content of an account within one artefact, in its order, from 0)."""
     keyed = ledger.withColumn("content_key", content_key(F.col("amount_minor"), F.col("value_date"), F.col("description")))
-    w = Window.partitionBy("account_id", "source", "content_key").orderBy("arrival_seq")
+    w = Window.partitionBy("artefact_digest", "account_id", "content_key").orderBy("arrival_seq")
     return keyed.withColumn("occurrence", F.row_number().over(w) - 1)
 
 
 def entity_ids(keyed: DataFrame) -> DataFrame:
-    own = F.coalesce("source_id", F.concat("content_key", F.lit("#"), F.col("occurrence").cast("string")))
-    return keyed.select("event_id", F.substring(F.sha2(F.concat_ws("\x1f", "account_id", "source", own), 256), 1, 32).alias("entity_id"))
+    cols = ("account_id", "source", "source_id", "content_key", "occurrence", "artefact_digest")
+    return keyed.select("event_id", entity_id(*map(F.col, cols)).alias("entity_id"))
 
 
 # --- coverage and agreement ----------------------------------------------------------------------------------------------------
@@ -145,11 +115,16 @@ def gap_witnesses(rows: DataFrame) -> DataFrame:
 
 
 def transpositions(rows: DataFrame) -> DataFrame:
-    """Equal account, amount and description in two sources with day and month exchanged."""
+    """Equal account, amount and description in two sources with day and month exchanged, unless both sources hold both days."""
     swapped = F.when(F.dayofmonth("value_date") <= 12, F.make_date(F.year("value_date"), F.dayofmonth("value_date"), F.least(F.month("value_date"), F.lit(28))))
+    held = rows.select("account_id", "amount_minor", "description", "source", "value_date").distinct()
     a = rows.select("account_id", "amount_minor", "description", F.col("source").alias("left_source"), F.col("value_date").alias("left_date"), swapped.alias("right_date")).where("right_date IS NOT NULL AND right_date <> left_date")
     b = rows.select("account_id", "amount_minor", "description", F.col("source").alias("right_source"), F.col("value_date").alias("right_date"))
-    return a.join(b, ["account_id", "amount_minor", "description", "right_date"]).where("left_source < right_source").select("account_id", "amount_minor", "description", "left_source", "right_source", "left_date", "right_date").distinct()
+    found = a.join(b, ["account_id", "amount_minor", "description", "right_date"]).where("left_source < right_source").select("account_id", "amount_minor", "description", "left_source", "right_source", "left_date", "right_date").distinct()
+    key = ["account_id", "amount_minor", "description"]
+    also = lambda source, day, name: held.select(*key, F.col("source").alias(source), F.col("value_date").alias(day), F.lit(True).alias(name))
+    both = found.join(also("left_source", "right_date", "_l"), [*key, "left_source", "right_date"], "left").join(also("right_source", "left_date", "_r"), [*key, "right_source", "left_date"], "left")
+    return both.where("_l IS NULL OR _r IS NULL").select(*found.columns)
 
 
 def stale_feeds(rows: DataFrame, lag: int = 3) -> DataFrame:
@@ -189,10 +164,21 @@ def _sides(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def content_match(keyed: DataFrame) -> DataFrame:
-    """For each row the earliest row of equal content that may be the same payment."""
-    a, b = _sides(keyed)
-    hits = a.join(b, (a.account_id == b.account_id) & (a.a_content_key == b.b_content_key) & (b.b_arrival_seq < a.a_arrival_seq))
-    return hits.where(could_be_one_payment("a_", "b_", F.lit(True))).groupBy(F.col("a_event_id").alias("event_id")).agg(F.min("b_event_id").alias("match_id"))
+    """For each row the earliest row of equal content that may be the same payment.
+
+    What the ladder asks of two rows depends only on their tier, source, status, id and occurrence. Rows of equal content collapse to these
+    classes with their first and second arrival, and rows meet classes, so a group of n equal rows never becomes n * n pairs.
+    """
+    cls = ("source", "tier", "source_id", "status", "occurrence")
+    held = keyed.withColumn("status", F.when(F.col("status") == "pending", "pending").otherwise("other"))
+    classes = held.groupBy("account_id", "content_key", *cls).agg(F.min(F.struct("arrival_seq", "event_id")).alias("first"))
+    a, b = (classes.select("account_id", "content_key", F.struct(*cls).alias(f"{p}cls"), *[F.col(c).alias(p + c) for c in cls], F.col("first").alias(p + "first")) for p in ("a_", "b_"))
+    # Classes that agree in all but the id of a payment fed many times stay few per content: a class is met once by every other class.
+    met = a.join(b, ["account_id", "content_key"]).where(could_be_one_payment("a_", "b_", F.lit(True))).groupBy("account_id", "content_key", "a_cls").agg(F.min("b_first").alias("match"))
+    rows = held.select("account_id", "content_key", F.struct(*cls).alias("a_cls"), "event_id", "arrival_seq")
+    same = (F.col("r.account_id") == F.col("m.account_id")) & (F.col("r.content_key") == F.col("m.content_key")) & F.col("r.a_cls").eqNullSafe(F.col("m.a_cls"))
+    hits = rows.alias("r").join(met.alias("m"), same).where(F.col("m.match.arrival_seq") < F.col("r.arrival_seq"))
+    return hits.select("r.event_id", F.col("m.match.event_id").alias("match_id"))
 
 
 def nearest_fuzzy_match(keyed: DataFrame, days: int = 7) -> DataFrame:
@@ -217,39 +203,6 @@ def recurring_series(rows: DataFrame) -> DataFrame:
     return two.where("p2 IS NOT NULL AND abs(datediff(value_date, p1) - datediff(p1, p2)) <= 1").select("account_id", "amount_minor", "description", "value_date")
 
 
-def transfer_pairs(ledger: DataFrame, days: int = 1) -> DataFrame:
-    """Debits and credits of equal size in different accounts at most a day apart, first eligible in (date, account, arrival) order.
-
-    Pairs need equal size, so each size is a market of its own; inside, days apart by more than the window split it further, and the
-    greedy walk reads a run of neighbouring days at a time.
-    """
-    import pandas as pd
-
-    w = Window.partitionBy("_abs").orderBy("value_date", "account_id", "arrival_seq")
-    rows = ledger.where("amount_minor <> 0").select(F.abs("amount_minor").alias("_abs"), "amount_minor", "account_id", "value_date", "arrival_seq", "event_id")
-    fresh = (F.datediff("value_date", F.lag("value_date").over(w)) > days).cast("int")
-    runs = rows.withColumn("_run", F.sum(F.coalesce(fresh, F.lit(0))).over(w))
-
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["value_date", "account_id", "arrival_seq"])
-        credits = pdf[pdf.amount_minor > 0]
-        held = list(zip(credits.value_date, credits.account_id, credits.event_id))
-        used, out, start = [False] * len(held), [], 0
-        for r in pdf[pdf.amount_minor < 0].itertuples():
-            while start < len(held) and (used[start] or (r.value_date - held[start][0]).days > days):
-                start += 1
-            k = start
-            while k < len(held) and (held[k][0] - r.value_date).days <= days:
-                if not used[k] and held[k][1] != r.account_id and (r.value_date - held[k][0]).days <= days:
-                    used[k] = True
-                    out.append((r.event_id, held[k][2]))
-                    break
-                k += 1
-        return pd.DataFrame(out, columns=["debit_event_id", "credit_event_id"])
-
-    return runs.groupBy("_abs", "_run").applyInPandas(pair, "debit_event_id bigint, credit_event_id bigint")
-
-
 # --- walks, lags, profiles -----------------------------------------------------------------------------------------------------
 
 
@@ -395,11 +348,6 @@ def orphan_rows(rows: DataFrame, key: str, owners: DataFrame, owner_key: str) ->
     return rows.where(F.col(key).isNotNull() & (F.col(key) != "")).join(owners.select(F.col(owner_key).alias(key)).distinct(), key, "left_anti")
 
 
-def mask_text(text: Column) -> Column:
-    """Digits to 9, capitals to X, small letters to x: shape without content."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[0-9]", "9"), "[A-Z]", "X"), "[a-z]", "x")
-
-
 def budget_payload(ledger: DataFrame) -> DataFrame:
     """Rows as a budgeting application takes them: stable imported id, payee, cleared flag; void rows stay out."""
     keyed = with_keys(ledger.where("status <> 'void'"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import fold, statements
+from ..functions import scalars
+from ..operators import fold, matching, statements
 from ..operators import ledger as ops
 from ..sources.artefacts import read_table
 
@@ -18,7 +19,7 @@ def _orders(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as dated rows of an account seen by three sources."""
     source = F.when(F.col("o_orderkey") % 3 == 0, "starling").when(F.col("o_orderkey") % 3 == 1, "truelayer").otherwise("qif")
     return read_table(spark, sf, "orders").select(
-        F.concat(F.lit("cust-"), F.pmod("o_custkey", F.lit(499))).alias("account_id"), source.alias("source"), F.to_date("o_orderdate").alias("value_date"),
+        F.concat(F.lit("cust-"), F.pmod("o_custkey", F.lit(29))).alias("account_id"), source.alias("source"), F.to_date("o_orderdate").alias("value_date"),
         (F.floor(F.col("o_totalprice") / 100000) * 1000).cast("long").alias("amount_minor"), F.col("o_orderpriority").alias("description"), F.col("o_orderkey").alias("arrival_seq"),
     )
 
@@ -64,7 +65,8 @@ def artefact_digest(spark, sf):
 
 
 def normalise_description(spark, sf):
-    return _ledger(spark, sf).select("event_id", ops.normalise_description(F.col("description")).alias("plain"))
+    rows = read_table(spark, sf, "planted_events").select("event_id", F.concat_ws(" ", "description", "merchant").alias("text")).distinct()
+    return rows.select("event_id", scalars.normalise_description(F.col("text")).alias("plain")).distinct()
 
 
 def group_key(spark, sf):
@@ -72,12 +74,19 @@ def group_key(spark, sf):
 
 
 def parse_amount(spark, sf):
-    text = F.format_string("£%.2f", F.col("o_totalprice"))
-    return read_table(spark, sf, "orders").select("o_orderkey", ops.parse_amount(text).alias("minor"))
+    """Printed amounts in every notation that files use, those that must be refused included."""
+    shown = F.format_string("%.2f", F.col("o_totalprice"))
+    kind = F.col("o_orderkey") % 8
+    text = (
+        F.when(kind == 0, F.concat(F.lit(" £"), F.format_number("o_totalprice", 2))).when(kind == 1, F.concat(F.lit("("), shown, F.lit(")"))).when(kind == 2, F.concat(F.lit("."), F.lpad((F.col("o_orderkey") % 100).cast("string"), 2, "0")))
+        .when(kind == 3, F.concat(F.lit("-"), shown, F.lit("0"))).when(kind == 4, F.concat(shown, F.lit("5"))).when(kind == 5, F.concat(F.lit("+"), shown)).when(kind == 6, F.concat(F.lit("EUR "), shown)).otherwise(shown)
+    )
+    currency = F.when(F.col("o_orderkey") % 16 == 7, "EUR").otherwise("GBP")
+    return read_table(spark, sf, "orders").select("o_orderkey", scalars.parse_amount(text, currency).alias("minor"))
 
 
 def format_amount(spark, sf):
-    return _ledger(spark, sf).select("event_id", ops.format_amount(F.col("amount_minor") + 5).alias("shown"))
+    return _ledger(spark, sf).select("event_id", scalars.format_amount(F.col("amount_minor") + 5).alias("shown"))
 
 
 def content_match(spark, sf):
@@ -93,7 +102,7 @@ def recurring_series(spark, sf):
 
 
 def transfer_pairs(spark, sf):
-    return ops.transfer_pairs(_ledger(spark, sf))
+    return matching.transfer_pairs(_ledger(spark, sf))
 
 
 def resolve_fold(spark, sf):
@@ -109,7 +118,17 @@ def fold_summary(spark, sf):
 
 
 def agreement_leftovers(spark, sf):
-    return fold.leftovers(_ledger(spark, sf))
+    return matching.leftovers(_ledger(spark, sf))
+
+
+def sibling_attribution(spark, sf):
+    rows = _ledger(spark, sf).checkpoint()
+    return matching.sibling_attribution(rows, matching.leftovers(rows))
+
+
+def destination_doubt(spark, sf):
+    rows = _ledger(spark, sf).checkpoint()
+    return matching.destination_doubt(rows, matching.sibling_attribution(rows, matching.leftovers(rows)))
 
 
 def agreement_figures(spark, sf):
@@ -289,7 +308,7 @@ def orphan_rows(spark, sf):
 
 
 def mask_text(spark, sf):
-    return read_table(spark, sf, "planted_events").select("event_id", ops.mask_text(F.col("description")).alias("masked")).distinct()
+    return read_table(spark, sf, "planted_events").select("event_id", scalars.mask_line(F.col("description")).alias("masked")).distinct()
 
 
 def budget_payload(spark, sf):
@@ -314,7 +333,7 @@ def statement_lines(spark, sf):
 
 NAMES = (
     "coverage coverage_net ledger_rollup source_counts corroboration content_key occurrence_number entity_id artefact_digest normalise_description group_key parse_amount "
-    "format_amount content_match nearest_fuzzy_match recurring_series transfer_pairs resolve_fold review_queue fold_summary agreement_leftovers agreement_figures month_gaps gap_witnesses transpositions stale_feeds balance_walk "
+    "format_amount content_match nearest_fuzzy_match recurring_series transfer_pairs resolve_fold review_queue fold_summary agreement_leftovers sibling_attribution destination_doubt agreement_figures month_gaps gap_witnesses transpositions stale_feeds balance_walk "
     "settlement_lag duplication items_by_month sign_by_category worklist explain rule_sweep annotation_winner refusal_streaks asks_last_day audit_partition unbound_accounts "
     "landed_once vanished_pending status_counts observation_projection current_view attribution_gaps could_be_one_payment id_match source_connections walk_convention shape_summary presence_links dead_rules alert_edges rebuild_diff "
     "orphan_rows mask_text budget_payload duplicate_ids propagation statement_lines"
@@ -327,12 +346,12 @@ WITH l AS (
          CASE WHEN event_id % 3 = 2 THEN 'synthetic' ELSE 'authoritative' END AS tier, CASE WHEN event_id % 3 <> 2 THEN 'id-' || event_id END AS source_id,
          CAST(floor(value / 10) AS BIGINT) * 1000 * CASE WHEN event_type IN ('purchase', 'view', 'error') THEN -1 ELSE 1 END AS amount_minor,
          CAST(ts AS DATE) AS value_date, upper(event_type) || ' ' || (event_id % 4) AS description,
-         CASE WHEN event_id % 11 = 0 THEN 'pending' ELSE 'booked' END AS status, event_id AS arrival_seq FROM events)
+         CASE WHEN event_id % 11 = 0 THEN 'pending' ELSE 'booked' END AS status, event_id AS arrival_seq, sha256('batch-' || (event_id // 50)) AS artefact_digest FROM events)
 """
 _K = _L + """,
-p AS (SELECT *, trim(regexp_replace(regexp_replace(lower(description), '[0-9]{2,}', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS plain FROM l),
+p AS (SELECT *, trim(regexp_replace(regexp_replace(lower(description), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g')) AS plain FROM l),
 c AS (SELECT *, sha256(amount_minor || chr(31) || strftime(value_date, '%Y-%m-%d') || chr(31) || plain) AS content_key FROM p),
-k AS (SELECT *, CAST(row_number() OVER (PARTITION BY account_id, source, content_key ORDER BY arrival_seq) - 1 AS INTEGER) AS occurrence FROM c)
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY artefact_digest, account_id, content_key ORDER BY arrival_seq) - 1 AS INTEGER) AS occurrence FROM c)
 """
 _ONE = """CASE WHEN a.source <> b.source THEN true WHEN (a.status = 'pending') <> (b.status = 'pending') THEN true
   WHEN a.tier = 'authoritative' AND b.tier = 'authoritative' AND a.source_id IS NOT NULL AND b.source_id IS NOT NULL THEN a.source_id = b.source_id
@@ -340,7 +359,7 @@ _ONE = """CASE WHEN a.source <> b.source THEN true WHEN (a.status = 'pending') <
 _SEEN = _L + ", s AS (SELECT event_id, account_id, source FROM l UNION ALL SELECT event_id, account_id, 'statement' FROM l WHERE event_id % 2 = 0)"
 _O = """
 WITH o AS (
-  SELECT 'cust-' || (o_custkey % 499) AS account_id, CASE o_orderkey % 3 WHEN 0 THEN 'starling' WHEN 1 THEN 'truelayer' ELSE 'qif' END AS source,
+  SELECT 'cust-' || (o_custkey % 29) AS account_id, CASE o_orderkey % 3 WHEN 0 THEN 'starling' WHEN 1 THEN 'truelayer' ELSE 'qif' END AS source,
          CAST(o_orderdate AS DATE) AS value_date, CAST(floor(o_totalprice / 100000) * 1000 AS BIGINT) AS amount_minor, o_orderpriority AS description, o_orderkey AS arrival_seq FROM orders)
 """
 _GAPS = _O + """,
@@ -351,6 +370,17 @@ g AS (SELECT account_id, source, CAST(unnest(generate_series(month + INTERVAL 1
 _COVER = "count(*) AS n, min(value_date) AS first_date, max(value_date) AS last_date, CAST(sum(CASE WHEN amount_minor > 0 THEN amount_minor ELSE 0 END) AS BIGINT) AS inflow, CAST(sum(CASE WHEN amount_minor < 0 THEN amount_minor ELSE 0 END) AS BIGINT) AS outflow, CAST(sum(amount_minor) AS BIGINT) AS net, count(source_id) AS durable_ids"
 _RANK = "CASE WHEN lower(provenance) LIKE 'human%' THEN 2 WHEN lower(provenance) LIKE 'model%' THEN 1 ELSE 0 END"
 
+
+
+def _stripped(x: str) -> str:
+    """SQL that strips the volatile fragments of a narrative."""
+    for pattern in scalars.VOLATILE:
+        x = f"regexp_replace({x}, '{pattern}', ' ', 'gi')"
+    return x
+
+
+_FURNITURE = ", ".join(f"'{w}'" for w in scalars.FURNITURE)
+_HIDE = "regexp_replace(regexp_replace(regexp_replace({}, '[0-9]', '9', 'g'), '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g')"
 ORACLES = {
     "coverage": _L + f"SELECT account_id, source, {_COVER} FROM l GROUP BY 1, 2",
     "coverage_net": _L + "SELECT account_id, count(*) AS n, CAST(sum(amount_minor) AS BIGINT) AS net FROM l GROUP BY 1",
@@ -359,11 +389,12 @@ ORACLES = {
     "corroboration": _SEEN + ", e AS (SELECT account_id, event_id, count(DISTINCT source) AS k FROM s GROUP BY 1, 2) SELECT account_id, count(*) FILTER (k > 1) AS corroborated, count(*) FILTER (k = 1) AS single_source FROM e GROUP BY 1",
     "content_key": _K + "SELECT event_id, content_key FROM k",
     "occurrence_number": _K + "SELECT event_id, occurrence FROM k",
-    "entity_id": _K + "SELECT event_id, substr(sha256(account_id || chr(31) || source || chr(31) || coalesce(source_id, content_key || '#' || occurrence)), 1, 32) AS entity_id FROM k",
+    "entity_id": _K + "SELECT event_id, substr(sha256(account_id || chr(31) || source || chr(31) || coalesce(source_id, content_key || '#' || occurrence) || chr(31) || artefact_digest), 1, 32) AS entity_id FROM k",
     "artefact_digest": "SELECT arrival_seq, sha256(payload) AS digest FROM raw_artefacts",
-    "normalise_description": _K + "SELECT event_id, plain FROM k",
+    "normalise_description": f"WITH t AS (SELECT DISTINCT event_id, strip_accents(concat_ws(' ', description, merchant)) AS x FROM planted_events) SELECT DISTINCT event_id, trim(regexp_replace(regexp_replace(lower({_stripped('x')}), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g')) AS plain FROM t",
     "group_key": "SELECT p_partkey, upper(trim(regexp_replace(regexp_replace(p_name, '[0-9*#]+', '', 'g'), '\\s+', ' ', 'g'))) AS label, coalesce(length(regexp_replace(p_name, '[^0-9]', '', 'g')) / nullif(length(p_name), 0) > 0.5, false) AS reference_coded FROM part",
-    "parse_amount": "SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS minor FROM orders",
+    "parse_amount": """SELECT o_orderkey, CASE WHEN o_orderkey % 16 = 7 THEN NULL ELSE CASE o_orderkey % 8 WHEN 1 THEN -CAST(round(o_totalprice * 100) AS BIGINT) WHEN 3 THEN -CAST(round(o_totalprice * 100) AS BIGINT)
+        WHEN 2 THEN o_orderkey % 100 WHEN 4 THEN NULL WHEN 6 THEN NULL ELSE CAST(round(o_totalprice * 100) AS BIGINT) END END AS minor FROM orders""",
     "format_amount": _L + "SELECT event_id, CASE WHEN amount_minor + 5 < 0 THEN '-' ELSE '' END || '£' || (abs(amount_minor + 5) // 100) || '.' || lpad(CAST(abs(amount_minor + 5) % 100 AS VARCHAR), 2, '0') AS shown FROM l",
     "content_match": _K + f"SELECT a.event_id, min(b.event_id) AS match_id FROM k a JOIN k b ON a.account_id = b.account_id AND a.content_key = b.content_key AND b.arrival_seq < a.arrival_seq WHERE {_ONE.format(same='true')} GROUP BY 1",
     "nearest_fuzzy_match": _K + f""", m AS (SELECT a.event_id, b.event_id AS match_id, CAST(abs(a.value_date - b.value_date) AS INTEGER) AS days FROM k a JOIN k b ON a.account_id = b.account_id AND a.amount_minor = b.amount_minor
@@ -382,7 +413,9 @@ ORACLES = {
     "gap_witnesses": _GAPS + "SELECT g.account_id, g.source, g.month, count(DISTINCT m.source) AS witnesses FROM g LEFT JOIN m ON m.account_id = g.account_id AND m.month = g.month GROUP BY ALL",
     "transpositions": _O + """SELECT DISTINCT a.account_id, a.amount_minor, a.description, a.source AS left_source, b.source AS right_source, a.value_date AS left_date, b.value_date AS right_date
         FROM o a JOIN o b ON a.account_id = b.account_id AND a.amount_minor = b.amount_minor AND a.description = b.description AND a.source < b.source
-        WHERE year(a.value_date) = year(b.value_date) AND month(a.value_date) = day(b.value_date) AND day(a.value_date) = month(b.value_date) AND a.value_date <> b.value_date""",
+        WHERE year(a.value_date) = year(b.value_date) AND month(a.value_date) = day(b.value_date) AND day(a.value_date) = month(b.value_date) AND a.value_date <> b.value_date
+          AND NOT (EXISTS (SELECT 1 FROM o x WHERE x.account_id = a.account_id AND x.amount_minor = a.amount_minor AND x.description = a.description AND x.source = a.source AND x.value_date = b.value_date)
+            AND EXISTS (SELECT 1 FROM o x WHERE x.account_id = a.account_id AND x.amount_minor = a.amount_minor AND x.description = a.description AND x.source = b.source AND x.value_date = a.value_date))""",
     "stale_feeds": _O + """, s AS (SELECT account_id, source, max(value_date) AS last_date FROM o GROUP BY 1, 2),
         t AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY last_date DESC, source DESC) AS r FROM s)
         SELECT s.account_id, s.source, s.last_date, t.source AS witness, CAST(t.last_date - s.last_date AS INTEGER) AS days_behind FROM s JOIN t ON t.account_id = s.account_id AND t.r = 1 WHERE t.source <> s.source AND t.last_date - s.last_date > 3""",
@@ -451,7 +484,8 @@ ORACLES = {
     "rebuild_diff": _L + """, c AS (SELECT account_id, count(*) FILTER (value_date < DATE '2024-01-10') AS b, count(*) FILTER (value_date >= DATE '2024-01-20') AS a FROM l GROUP BY 1)
         SELECT account_id, b AS rows_before, a AS rows_after, CASE WHEN a = 0 THEN 'vanished' WHEN b = 0 THEN 'new' WHEN a = b THEN 'same' ELSE 'changed' END AS state FROM c WHERE a + b > 0""",
     "orphan_rows": "SELECT DISTINCT entity_id, artefact_digest FROM transactions t WHERE artefact_digest <> '' AND NOT EXISTS (SELECT 1 FROM raw_artefacts a WHERE a.digest = t.artefact_digest)",
-    "mask_text": "SELECT DISTINCT event_id, regexp_replace(regexp_replace(regexp_replace(description, '[0-9]', '9', 'g'), '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g') AS masked FROM planted_events",
+    "mask_text": f"""SELECT DISTINCT event_id, array_to_string(list_transform(regexp_extract_all(description, '[0-9A-Za-z]+|[^0-9A-Za-z]+'), lambda w: CASE WHEN lower(w) IN ({_FURNITURE}) THEN w
+        WHEN regexp_full_match(w, '[0-9]+(?i:CR|DR)') THEN regexp_replace(regexp_extract(w, '^[0-9]+'), '[0-9]', '9', 'g') || regexp_extract(w, '[A-Za-z]+$') ELSE {_HIDE.format('w')} END), '') AS masked FROM planted_events""",
     "budget_payload": _K + "SELECT event_id, account_id, content_key || ':' || occurrence AS imported_id, description AS payee, amount_minor, status <> 'pending' AS cleared FROM k",
     "duplicate_ids": _K + "SELECT account_id, content_key || ':' || occurrence AS imported_id, count(*) AS n FROM k GROUP BY 1, 2 HAVING count(*) > 1",
     "propagation": """WITH r AS (SELECT DISTINCT event_id, amount_minor, upper(trim(regexp_replace(regexp_replace(description, '[0-9*#]+', '', 'g'), '\\s+', ' ', 'g'))) AS g, CASE WHEN event_id % 3 = 0 THEN kind END AS label FROM planted_events),
