@@ -211,7 +211,8 @@ def audit_partition(spark, sf):
 
 
 def unbound_accounts(spark, sf):
-    known = read_table(spark, sf, "declared_accounts").select("account_id")
+    """Accounts with payments that no feed connection is bound to."""
+    known = read_table(spark, sf, "extendable_accounts").where("connection NOT LIKE 'qif-%' AND connection NOT LIKE 'amex-%'").select("account_id")
     return read_table(spark, sf, "transactions").select("account_id").distinct().join(known, "account_id", "left_anti")
 
 
@@ -222,15 +223,6 @@ def landed_once(spark, sf):
     return first.select("digest", "account_ref", "source", F.col("f.arrival_seq").alias("arrival_seq"), "deliveries")
 
 
-def vanished_pending(spark, sf):
-    """Pending payments of an account that no booked payment of equal amount follows within five days."""
-    rows = read_table(spark, sf, "transactions").select("entity_id", "account_id", "amount_minor", "value_date", "status").distinct()
-    pending = rows.where("status = 'pending'").withColumn("_day", F.explode(F.sequence("value_date", F.date_add("value_date", 5))))
-    booked = rows.where("status = 'booked'").select("account_id", "amount_minor", F.col("value_date").alias("_day")).distinct()
-    settled = pending.join(booked, ["account_id", "amount_minor", "_day"], "left_semi").select("entity_id").distinct()
-    return rows.where("status = 'pending'").select("entity_id").distinct().join(settled, "entity_id", "left_anti")
-
-
 def status_counts(spark, sf):
     return read_table(spark, sf, "transactions").distinct().groupBy("source", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("amount_minor").alias("net"))
 
@@ -335,7 +327,7 @@ NAMES = (
     "coverage coverage_net ledger_rollup source_counts corroboration content_key occurrence_number entity_id artefact_digest normalise_description group_key parse_amount "
     "format_amount content_match nearest_fuzzy_match recurring_series transfer_pairs resolve_fold review_queue fold_summary agreement_leftovers sibling_attribution destination_doubt agreement_figures month_gaps gap_witnesses transpositions stale_feeds balance_walk "
     "settlement_lag duplication items_by_month sign_by_category worklist explain rule_sweep annotation_winner refusal_streaks asks_last_day audit_partition unbound_accounts "
-    "landed_once vanished_pending status_counts observation_projection current_view attribution_gaps could_be_one_payment id_match source_connections walk_convention shape_summary presence_links dead_rules alert_edges rebuild_diff "
+    "landed_once status_counts observation_projection current_view attribution_gaps could_be_one_payment id_match source_connections walk_convention shape_summary presence_links dead_rules alert_edges rebuild_diff "
     "orphan_rows mask_text budget_payload duplicate_ids propagation statement_lines"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}
@@ -449,11 +441,8 @@ ORACLES = {
         t AS (SELECT id, CASE WHEN id % 13 = 0 THEN x + 1 ELSE x END AS x FROM e WHERE id % 7 <> 0),
         a AS (SELECT id, count(*) AS n, sum(x) AS x FROM (SELECT * FROM t UNION ALL SELECT -id - 1, x FROM t WHERE id % 17 = 0) GROUP BY 1)
         SELECT CASE WHEN a.n > 1 THEN 'duplicated' WHEN a.n IS NULL THEN 'missing' WHEN e.id IS NULL THEN 'orphaned' WHEN e.x <> a.x THEN 'diverged' ELSE 'present' END AS state, count(*) AS n FROM e FULL JOIN a ON e.id = a.id GROUP BY 1""",
-    "unbound_accounts": "SELECT DISTINCT account_id FROM transactions t WHERE NOT EXISTS (SELECT 1 FROM declared_accounts d WHERE d.account_id = t.account_id)",
+    "unbound_accounts": "SELECT DISTINCT account_id FROM transactions t WHERE NOT EXISTS (SELECT 1 FROM extendable_accounts d WHERE d.account_id = t.account_id AND connection NOT LIKE 'qif-%' AND connection NOT LIKE 'amex-%')",
     "landed_once": "SELECT sha256(payload) AS digest, account_ref, source, arg_min(arrival_seq, (fetched_at, arrival_seq)) AS arrival_seq, count(*) AS deliveries FROM raw_artefacts GROUP BY 1, 2, 3",
-    "vanished_pending": """WITH t AS (SELECT DISTINCT entity_id, account_id, amount_minor, value_date, status FROM transactions)
-        SELECT DISTINCT entity_id FROM t WHERE status = 'pending' AND entity_id NOT IN (
-          SELECT p.entity_id FROM t p JOIN t b ON b.status = 'booked' AND b.account_id = p.account_id AND b.amount_minor = p.amount_minor AND b.value_date BETWEEN p.value_date AND p.value_date + 5 WHERE p.status = 'pending')""",
     "status_counts": "SELECT source, status, count(*) AS n, CAST(sum(amount_minor) AS BIGINT) AS net FROM (SELECT DISTINCT * FROM transactions) GROUP BY 1, 2",
     "observation_projection": f"SELECT account_id, fact, kind, window_from, window_to, arg_max(observation_id, ({_RANK}, observed_at, observation_id)) AS observation_id FROM observations WHERE value IS NOT NULL GROUP BY 1, 2, 3, 4, 5",
     "current_view": f"SELECT account_id, fact, kind, arg_max(value, ({_RANK}, observed_at, observation_id)) AS value FROM observations WHERE value IS NOT NULL AND (window_from IS NULL OR window_from <= DATE '2024-06-30') AND (window_to IS NULL OR window_to >= DATE '2024-06-30') AND observed_at <= DATE '2024-06-30' GROUP BY 1, 2, 3",
