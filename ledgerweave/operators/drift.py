@@ -1,8 +1,8 @@
 """Schemas that drift between files: versioned fingerprints, migration steps and every change against the documentation.
 
 Each payload is profiled once (field names with counts by value class). Profiles collapse to schema fingerprints per source; changes
-are worked out once per fingerprint and joined back. Renames are migration steps ``(source, old_name, new_name)``: given, or derived
-from all fingerprints by :func:`derive_renames`.
+are worked out once per fingerprint and joined back. A :class:`SchemaRegistry` keeps versions and their migration steps (rename, default,
+cast); renames are given, or derived from the fingerprints seen so far by :func:`derive_renames`.
 
 Edge cases: unreadable payloads and payloads without records give nothing; null and empty values say nothing about a field's type;
 documentation for an unknown source is empty, so all its fields are additions; repeated artefacts repeat their changes once.
@@ -16,12 +16,15 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timezone
 from decimal import ROUND_HALF_UP, Decimal
+from uuid import uuid4
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.artefacts import decode, flat_fields, read_records, unwrapped
+from ..session import shared_folder
+from ..sources.artefacts import csv_table, decode, flat_fields, plain_header, read_records, unwrapped
+from ..store import BatchFolder
 
 PROFILE = (
     "arrival_seq bigint, source string, fetched_at timestamp, kind string, n_records int, "
@@ -70,10 +73,13 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for seq, source, at, payload in pdf[["arrival_seq", "source", "fetched_at", "payload"]].itertuples(index=False):
-            found = read_records(decode(payload))
+            text = decode(payload)
+            found = read_records(text)
             if not found or not found[1]:
                 continue
             kind, records = found
+            # Fields of files are told by their headers as printed; values are looked up under the plain header.
+            printed = {plain_header(c): c for c in reversed(csv_table(text)[0])} if kind == "csv" else {}
             present: Counter[str] = Counter()
             classes: dict[str, Counter[str]] = {}
             for record in records:
@@ -83,7 +89,7 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if c:
                         classes.setdefault(name, Counter())[c] += 1
             fields = [
-                {"name": n, "present": k, "nonnull": sum(classes.get(n, {}).values()), "classes": dict(classes.get(n, {}))}
+                {"name": printed.get(n, n), "present": k, "nonnull": sum(classes.get(n, {}).values()), "classes": dict(classes.get(n, {}))}
                 for n, k in sorted(present.items())
             ]
             out.append((seq, source, at, kind, len(records), fields))
@@ -116,7 +122,7 @@ def fingerprints(profile_rows: DataFrame, docs: DataFrame) -> DataFrame:
     Columns: ``arrival_seq, source, fetched_at, fingerprint, undocumented, missing, retyped``. File headers compare without letter
     case and blanks; fields under a documented array are not looked at.
     """
-    joined = profile_rows.join(F.broadcast(docs), F.col("source") == F.col("_source"), "left").drop("_source")
+    joined = profile_rows.join(docs, F.col("source") == F.col("_source"), "left").drop("_source")
     joined = joined.withColumn("docs", F.expr("coalesce(docs, array())"))
     key = "if(kind = 'csv', lower(trim(f.name)), f.name)"
     have = joined.withColumn("keys", F.expr(f"transform(fields, f -> {key})")).withColumn(
@@ -130,7 +136,7 @@ def fingerprints(profile_rows: DataFrame, docs: DataFrame) -> DataFrame:
         "arrival_seq",
         "source",
         "fetched_at",
-        F.expr(f"transform(filter(fields, f -> NOT array_contains(doc_keys, {key}) AND NOT {field_closed}), f -> f.name)").alias("undocumented"),
+        F.expr(f"array_sort(transform(filter(fields, f -> NOT array_contains(doc_keys, {key}) AND NOT {field_closed}), f -> f.name))").alias("undocumented"),
         F.expr(f"array_sort(transform(filter(docs, d -> NOT d.optional AND NOT array_contains(keys, {own}) AND NOT {doc_closed}), d -> d.name))").alias("missing"),
         F.expr(
             f"array_sort(transform(filter(docs, d -> d.fits IS NOT NULL AND NOT {doc_closed} AND "
@@ -139,17 +145,68 @@ def fingerprints(profile_rows: DataFrame, docs: DataFrame) -> DataFrame:
     ).withColumn("fingerprint", F.sha2(F.to_json(F.struct("source", "undocumented", "missing", "retyped")), 256))
 
 
-def schema_versions(marks: DataFrame) -> DataFrame:
-    """Distinct fingerprints of a source with their version number by first appearance and how many artefacts carry each."""
-    seen = marks.groupBy("source", "fingerprint").agg(
-        F.count(F.lit(1)).alias("artefacts"),
-        F.min("fetched_at").alias("first_seen"),
-        F.max("fetched_at").alias("last_seen"),
-        F.first("undocumented").alias("undocumented"),
-        F.first("missing").alias("missing"),
-        F.first("retyped").alias("retyped"),
+def tallied(marks: DataFrame) -> DataFrame:
+    """Distinct fingerprints with what they say and how many artefacts carry each."""
+    return marks.groupBy("fingerprint").agg(
+        F.first("source").alias("source"), F.count(F.lit(1)).alias("artefacts"), F.min("fetched_at").alias("first_seen"),
+        F.first("undocumented").alias("undocumented"), F.first("missing").alias("missing"), F.first("retyped").alias("retyped"),
     )
-    return seen.withColumn("version", F.row_number().over(Window.partitionBy("source").orderBy("first_seen", "fingerprint")))
+
+
+class SchemaRegistry:
+    """Schema versions of every source with the migration steps of each, kept in a folder that only grows.
+
+    A fingerprint becomes a version once, numbered within its source by first appearance, and its steps are decided then: from given renames,
+    else from those decided before, else from all fingerprints seen so far. Later files add versions and evidence and never change an
+    older version, so the answer for a file once read stands.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
+        self.folder = BatchFolder(spark, path or f"{shared_folder(spark)}/schemas-{uuid4().hex}")
+
+    def versions(self) -> DataFrame:
+        """``source, version, fingerprint, first_seen, undocumented, missing, retyped, applied`` of all versions."""
+        return self.folder.read("versions")
+
+    def register(self, marks: DataFrame, renames: DataFrame | None = None) -> DataFrame:
+        """Take in the fingerprints of some artefacts; gives all versions."""
+        new = tallied(marks).checkpoint()
+        evidence, known = new.drop("first_seen"), None
+        if self.folder.batches:
+            known = self.versions()
+            both = evidence.unionByName(self.folder.read("evidence"))
+            evidence = both.groupBy("fingerprint").agg(F.first("source").alias("source"), F.sum("artefacts").alias("artefacts"), *[F.first(c).alias(c) for c in ("undocumented", "missing", "retyped")])
+        if renames is not None:
+            steps = chained(renames)
+        else:
+            steps = derive_renames(evidence)
+            if known is not None:
+                old = known.select("source", F.inline("applied")).distinct()
+                taken = lambda name: old.select("source", name).distinct()
+                steps = old.unionByName(steps.join(taken("old_name"), ["source", "old_name"], "left_anti").join(taken("new_name"), ["source", "new_name"], "left_anti").select(*old.columns))
+        fresh = new
+        if known is not None:
+            fresh = new.join(known.select("fingerprint"), "fingerprint", "left_anti")
+            top = known.groupBy(F.col("source").alias("_s")).agg(F.max("version").alias("_top"))
+            fresh = fresh.join(top, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+        else:
+            fresh = fresh.withColumn("_top", F.lit(0))
+        number = F.row_number().over(Window.partitionBy("source").orderBy("first_seen", "fingerprint"))
+        numbered = fresh.withColumn("version", number + F.coalesce("_top", F.lit(0))).drop("_top")
+        placed = applied_renames(numbered, steps).select("source", "version", "fingerprint", "first_seen", "undocumented", "missing", "retyped", "applied")
+        self.folder.write(placed.coalesce(1), "versions")
+        self.folder.write(new.select("fingerprint", "source", "artefacts", "undocumented", "missing", "retyped").coalesce(1), "evidence")
+        self.folder.commit()
+        return self.versions()
+
+
+def migration_steps(versions: DataFrame) -> DataFrame:
+    """The steps of every version as rows, in the order in which they are taken: ``source, version, step, kind, field_name, new_name``."""
+    each = F.expr("""concat(
+        transform(applied, a -> named_struct('kind', 'rename', 'field_name', a.old_name, 'new_name', a.new_name)),
+        transform(filter(missing, m -> NOT exists(applied, a -> a.old_name = m)), m -> named_struct('kind', 'default', 'field_name', m, 'new_name', CAST(NULL AS string))),
+        transform(retyped, r -> named_struct('kind', 'cast', 'field_name', r, 'new_name', CAST(NULL AS string))))""")
+    return versions.select("source", "version", F.posexplode(each).alias("step", "s")).select("source", "version", "step", "s.*")
 
 
 def derive_renames(versions: DataFrame, follows: float = 0.95, explains: float = 0.5) -> DataFrame:
@@ -193,14 +250,13 @@ def chained(renames: DataFrame) -> DataFrame:
 def applied_renames(versions: DataFrame, renames: DataFrame) -> DataFrame:
     """The fingerprints with their renames as ``applied``: the documented field is missing and the new name is there."""
     steps = renames.groupBy(F.col("source").alias("_source")).agg(F.collect_set(F.struct("old_name", "new_name")).alias("steps"))
-    v = versions.join(F.broadcast(steps), F.col("source") == F.col("_source"), "left").withColumn("steps", F.expr("coalesce(steps, array())"))
+    v = versions.join(steps, F.col("source") == F.col("_source"), "left").withColumn("steps", F.expr("coalesce(steps, array())"))
     return v.withColumn("applied", F.expr("filter(steps, s -> array_contains(missing, s.old_name) AND exists(undocumented, u -> lower(trim(u)) = s.new_name))"))
 
 
-def changes(versions: DataFrame, renames: DataFrame) -> DataFrame:
-    """``source, fingerprint, field_name, change_kind`` for every fingerprint, by the migration steps given."""
-    return applied_renames(versions, renames).select(
-        "source",
+def changes(versions: DataFrame) -> DataFrame:
+    """``fingerprint, field_name, change_kind`` of every version, by its migration steps."""
+    return versions.select(
         "fingerprint",
         F.inline(
             F.expr("""array_distinct(concat(
@@ -212,12 +268,14 @@ def changes(versions: DataFrame, renames: DataFrame) -> DataFrame:
     )
 
 
-def schema_changes(artefacts: DataFrame, schemas: DataFrame, renames: DataFrame | None = None) -> DataFrame:
-    """Every change of every artefact: ``arrival_seq, field_name, change_kind``. Migration steps are derived unless given."""
+def schema_changes(artefacts: DataFrame, schemas: DataFrame, renames: DataFrame | None = None, path: str | None = None) -> DataFrame:
+    """Every change of every artefact: ``arrival_seq, field_name, change_kind``, each artefact routed by its fingerprint to its version.
+
+    The registry at `path` goes on where it stands; without a path it is a new one. Renames are decided by it unless given.
+    """
     marks = fingerprints(profiles(artefacts), documented(schemas)).checkpoint()
-    versions = schema_versions(marks)
-    found = changes(versions, derive_renames(versions) if renames is None else chained(renames))
-    return marks.select("arrival_seq", "source", "fingerprint").join(found, ["source", "fingerprint"]).select("arrival_seq", "field_name", "change_kind").distinct()
+    versions = SchemaRegistry(artefacts.sparkSession, path).register(marks, renames)
+    return marks.select("arrival_seq", "fingerprint").join(changes(versions), "fingerprint").select("arrival_seq", "field_name", "change_kind").distinct()
 
 
 RECORDS = (
@@ -381,7 +439,7 @@ def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["arrival_seq", "source", "kind", "version", "record_no", "fields", "typed", "delivered", "steps"]).astype({"version": "Int32"})
 
 
-def consistent_records(artefacts: DataFrame, schemas: DataFrame, renames: DataFrame | None = None) -> DataFrame:
+def consistent_records(artefacts: DataFrame, schemas: DataFrame, renames: DataFrame | None = None, path: str | None = None) -> DataFrame:
     """One table of all records: each brought from its schema version to the documentation by renames, then defaults, then casts.
 
     Gives ``arrival_seq, record_no, source, version`` (of the source's schema), ``fields`` (text by documented names, every documented
@@ -391,14 +449,12 @@ def consistent_records(artefacts: DataFrame, schemas: DataFrame, renames: DataFr
     and in its common column and stays in ``delivered``.
     """
     marks = fingerprints(profiles(artefacts), documented(schemas)).checkpoint()
-    versions = schema_versions(marks)
-    steps = derive_renames(versions) if renames is None else chained(renames)
-    plans = applied_renames(versions, steps).select(F.col("source").alias("_s"), F.col("fingerprint").alias("_f"), "version", F.to_json("applied").alias("moves"))
-    routed = marks.select("arrival_seq", "source", "fingerprint").join(plans, F.col("source").eqNullSafe(F.col("_s")) & (F.col("fingerprint") == F.col("_f")))
+    versions = SchemaRegistry(artefacts.sparkSession, path).register(marks, renames)
+    routed = marks.select("arrival_seq", "fingerprint").join(versions.select("fingerprint", "version", F.to_json("applied").alias("moves")), "fingerprint")
     routed = routed.groupBy(F.col("arrival_seq").alias("_seq")).agg(F.min("version").alias("version"), F.min_by("moves", "version").alias("moves"))
     doc = F.struct(F.col("field_name").alias("name"), F.col("field_type").alias("kind"), F.coalesce("optional", F.lit(False)).alias("optional"), F.col("field_no").alias("no"))
     docs = schemas.where("field_name IS NOT NULL").groupBy(F.col("source").alias("_d")).agg(F.to_json(F.array_sort(F.collect_set(doc))).alias("docs"))
-    rows = artefacts.select("arrival_seq", "source", "payload").join(routed, F.col("arrival_seq").eqNullSafe(F.col("_seq")), "left").join(F.broadcast(docs), F.col("source") == F.col("_d"), "left")
+    rows = artefacts.select("arrival_seq", "source", "payload").join(routed, F.col("arrival_seq").eqNullSafe(F.col("_seq")), "left").join(docs, F.col("source") == F.col("_d"), "left")
     rows = rows.select("arrival_seq", "source", "payload", "version", "docs", "moves").mapInPandas(_records, RECORDS)
     rows = rows.withColumn("delivered", F.from_json("delivered", "map<string,string>"))
     cell = lambda *keys: F.coalesce(*[F.nullif(F.trim(F.expr(f"coalesce(try_element_at(delivered, '{k}'), try_element_at(fields, '{k}'))")), F.lit("")) for k in keys])

@@ -74,7 +74,8 @@ def reading_periods(rows: DataFrame) -> DataFrame:
     recorded = kept.withColumn("recorded_to", F.lead("ingested_at").over(day.orderBy("ingested_at", "observation_id")))
     recorded = recorded.withColumnRenamed("ingested_at", "recorded_from").drop("_better", "_held")
     placed = recorded.withColumn("_day", F.datediff("start", F.lit("1970-01-01")))
-    sweep = Window.partitionBy(*KEYS).orderBy("_day").rangeBetween(1, Window.unboundedFollowing)
+    # From the last start back: the frame only grows, so a hot series costs one pass.
+    sweep = Window.partitionBy(*KEYS).orderBy(F.desc("_day")).rangeBetween(Window.unboundedPreceding, -1)
     following = F.min(F.when(F.col("recorded_to").isNull(), F.col("start"))).over(sweep)
     return placed.withColumn("valid_to", F.date_sub(following, 1)).withColumnRenamed("start", "valid_from").drop("_day")
 
@@ -157,6 +158,13 @@ def bitemporal_ledger(rows: DataFrame) -> DataFrame:
     )
 
 
+def as_of(ledger: DataFrame, day: Column, instant: Column) -> DataFrame:
+    """What was believed at `instant` about `day`: the ledger's slices whose valid and recorded periods hold both."""
+    valid = (F.col("valid_from") <= day) & (F.col("valid_to").isNull() | (F.col("valid_to") >= day))
+    recorded = (F.col("recorded_from").isNull() | (F.col("recorded_from") <= instant)) & (F.col("recorded_to").isNull() | (F.col("recorded_to") > instant))
+    return ledger.where(valid & recorded)
+
+
 def versions(rows: DataFrame) -> DataFrame:
     """Each version with the days it was valid: ``account_id, fact, kind, valid_from, valid_to`` as strings, '' for no end.
 

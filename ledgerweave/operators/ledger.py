@@ -256,7 +256,7 @@ def explain(ledger: DataFrame) -> DataFrame:
 def first_match_rules(parts: DataFrame, rules: DataFrame) -> DataFrame:
     """The first rule in file order whose needle a text contains; rules with an empty value are passed over. Rules are few."""
     usable = rules.where("value <> ''")
-    hits = parts.join(F.broadcast(usable), F.contains(F.lower(F.col("text")), F.lower(F.col("needle"))), "left")
+    hits = parts.join(usable, F.contains(F.lower(F.col("text")), F.lower(F.col("needle"))), "left")
     return hits.groupBy("id").agg(F.min_by("value", "rule_no").alias("category"), F.min("rule_no").alias("rule_no"))
 
 

@@ -6,7 +6,8 @@ object under a name taken as an array of one), so no depth is cut off.
 
 Edge cases: unreadable, empty and null payloads and payloads whose top is no object give no rows; null and scalar elements count in
 positions but are no rows; a string that holds a serialised object or array counts as what it holds; an array name met as a single
-object counts as element 0; repeated artefact rows give repeated rows once (rows are distinct).
+object counts as element 0; an artefact row that stands there twice (landing numbers are unique) gives its rows twice; rows without a
+landing number give none.
 """
 
 from __future__ import annotations
@@ -57,11 +58,11 @@ def nested_rows(artefacts: DataFrame, schemas: DataFrame) -> DataFrame:
 
     ``table_path`` is the path without positions, the name of the flat table the row belongs to.
     """
-    decoded = artefacts.select("arrival_seq", "source", json_text(F.col("payload")).alias("_json"))
+    decoded = artefacts.where("arrival_seq IS NOT NULL").select("arrival_seq", "source", json_text(F.col("payload")).alias("_json"))
     depth = decoded.agg(F.max("_json.depth")).first()[0] or 0
     state = (
         decoded.where("_json.text IS NOT NULL")
-        .join(F.broadcast(array_names(schemas)), F.col("source") == F.col("_source"), "left")
+        .join(array_names(schemas), F.col("source") == F.col("_source"), "left")
         .select(
             "arrival_seq",
             F.coalesce("listed", F.array().cast("array<string>")).alias("listed"),
@@ -95,6 +96,31 @@ def nested_rows(artefacts: DataFrame, schemas: DataFrame) -> DataFrame:
 
 
 def child_table(rows: DataFrame, table_path: str, columns: dict[str, str]) -> DataFrame:
-    """One flat table out of :func:`nested_rows`: its scalar fields by JSON path, with the keys of row and parent."""
+    """One flat table out of :func:`nested_rows`: keys of the row and its parent, the row's positions from the top, scalar fields by JSON path, and the whole record."""
     cells = [F.get_json_object("js", path).alias(name) for name, path in columns.items()]
-    return rows.where(F.col("table_path") == table_path).select("arrival_seq", "node_path", "parent_path", *cells)
+    positions = F.transform(F.regexp_extract_all("node_path", F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("int"))
+    return rows.where(F.col("table_path") == table_path).select("arrival_seq", "node_path", "parent_path", positions.alias("positions"), *cells, F.col("js").alias("record"))
+
+
+def documented_tables(schemas: DataFrame, record_keys: dict[str, str]) -> dict[str, dict[str, str]]:
+    """Table path and scalar columns of every array of objects that the documentation names, records themselves included.
+
+    `record_keys` tells under which key a source's records lie. The documentation is one short table.
+    """
+    tables: dict[str, dict[str, str]] = {}
+    fields = schemas.where("field_name IS NOT NULL").select("source", "field_name", "field_type").distinct().collect()
+    for source, key in record_keys.items():
+        own = {r.field_name: r.field_type for r in fields if r.source == source}
+        arrays = {n for n, kind in own.items() if kind == "array of objects"}
+        for root in ("", *sorted(arrays)):
+            inside = {n[len(root) + 1 :] if root else n for n in own if not root or n.startswith(f"{root}.")}
+            scalars = sorted(n for n in inside if own[f"{root}.{n}" if root else n] not in ("object", "array of objects") and not any((f"{root}.{n}" if root else n).startswith(f"{a}.") for a in arrays if a != root and a.startswith(f"{root}." if root else "")))
+            path = ".".join(filter(None, (key, root)))
+            tables.setdefault(path, {}).update({n.replace(".", "_"): f"$.{n}" for n in scalars})
+    return tables
+
+
+def child_tables(artefacts: DataFrame, schemas: DataFrame, record_keys: dict[str, str]) -> dict[str, DataFrame]:
+    """Every documented flat table by its path, from one walk that is written once."""
+    rows = nested_rows(artefacts, schemas).checkpoint()
+    return {path: child_table(rows, path, columns) for path, columns in documented_tables(schemas, record_keys).items()}

@@ -56,13 +56,50 @@ def p5_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("table_path").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("arrival_seq").alias("artefacts"), F.count_distinct("arrival_seq", "parent_path").alias("parents"))
 
 
+RECORD_KEYS = {"starling-feed": "feedItems", "starling-spaces": "savingsGoals", "truelayer-booked": "results", "truelayer-pending": "results", "truelayer-card-booked": "results", "truelayer-accounts": "results"}
+
+
+def _table(path: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        shared_folder(spark)
+        schemas = read_table(spark, sf_dir, "source_schemas")
+        rows = nested.nested_rows(read_table(spark, sf_dir, "raw_artefacts"), schemas)
+        return nested.child_table(rows, path, nested.documented_tables(schemas, RECORD_KEYS)[path])
+
+    return query
+
+
+p5_feed_items, p5_attachments, p5_attachment_lines, p5_legs, p5_instalments = (_table(p) for p in ("feedItems", "feedItems.attachments", "feedItems.attachments.pages.lines", "results.meta.legs", "results.meta.instalments"))
+
+
+def p6_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was believed on 1 March 2024 about the first day of that year."""
+    ledger = history.bitemporal_ledger(history.readings(read_table(spark, sf_dir, "observations")))
+    held = history.as_of(ledger, F.lit("2024-01-01").cast("date"), F.lit("2024-03-01 00:00:00").cast("timestamp"))
+    return held.select("account_id", "fact", "kind", "observation_id", "plain", "valid_from")
+
+
+def _registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared_folder(spark)
+    marks = drift.fingerprints(drift.profiles(read_table(spark, sf_dir, "raw_artefacts")), drift.documented(read_table(spark, sf_dir, "source_schemas"))).checkpoint()
+    return drift.SchemaRegistry(spark).register(marks)
+
+
+def p7_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _registered(spark, sf_dir).select("source", "version", "fingerprint", "undocumented", "missing", "retyped")
+
+
+def p7_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.migration_steps(_registered(spark, sf_dir))
+
+
 def p7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared_folder(spark)
     rows = drift.consistent_records(read_table(spark, sf_dir, "raw_artefacts"), read_table(spark, sf_dir, "source_schemas"))
     return rows.withColumn("fields", F.col("typed")).withColumn("delivered", F.to_json("delivered")).drop("typed")
 
 
-QUERIES = {"p4_found": p4_found, "p4_periods": p4_periods, "p5_found": p5_found, "p5_tables": p5_tables, "p6_found": p6_found, "p6_ledger": p6_ledger, "p6_slices": p6_slices, "p7_found": p7_found, "p7_records": p7_records}
+QUERIES = {"p4_found": p4_found, "p4_periods": p4_periods, "p5_found": p5_found, "p5_tables": p5_tables, "p6_found": p6_found, "p6_ledger": p6_ledger, "p6_slices": p6_slices, "p7_found": p7_found, "p7_records": p7_records, "p7_versions": p7_versions, "p7_steps": p7_steps, "p6_as_of": p6_as_of, "p5_feed_items": p5_feed_items, "p5_attachments": p5_attachments, "p5_attachment_lines": p5_attachment_lines, "p5_legs": p5_legs, "p5_instalments": p5_instalments}
 
 _HELD = """
 WITH w AS (
@@ -121,6 +158,13 @@ v AS (
 m AS (SELECT account_id, fact, kind, n, min(start) AS a, arg_max_null(window_to, start) AS z FROM v GROUP BY ALL),
 e AS (SELECT *, least(lead(a) OVER (PARTITION BY account_id, fact, kind ORDER BY n) - 1, z) AS y FROM m)
 SELECT account_id, fact, kind, strftime(a, '%Y-%m-%d') AS valid_from, coalesce(strftime(y, '%Y-%m-%d'), '') AS valid_to FROM e
+""",
+    "p6_as_of": _PLAIN
+    + """,
+k AS (SELECT *, row_number() OVER (PARTITION BY account_id, fact, kind, start ORDER BY rank DESC, observed_at DESC NULLS LAST, observation_id DESC) AS r
+      FROM p WHERE ingested_at IS NULL OR ingested_at <= TIMESTAMPTZ '2024-03-01 00:00:00+00'),
+q AS (SELECT *, row_number() OVER (PARTITION BY account_id, fact, kind ORDER BY start DESC) AS last FROM k WHERE r = 1 AND start <= DATE '2024-01-01')
+SELECT account_id, fact, kind, observation_id, plain, start AS valid_from FROM q WHERE last = 1 AND (window_to IS NULL OR window_to >= DATE '2024-01-01')
 """,
     "p6_ledger": _PLAIN
     + """,

@@ -208,7 +208,7 @@ def flat_fields(record: dict, prefix: str = "") -> Iterator[tuple[str, Any]]:
 
 
 def csv_table(text: str) -> tuple[list[str], list[list[str]]] | None:
-    """Header and data rows of a delimited text, whatever its delimiter and quoting; None when it is none."""
+    """Header cells as printed and data rows of a delimited text, whatever its delimiter and quoting; None when it is none."""
     lines = text.lstrip("﻿\r\n \t").splitlines()
     if not lines:
         return None
@@ -221,8 +221,12 @@ def csv_table(text: str) -> tuple[list[str], list[list[str]]] | None:
         return None
     if not rows:
         return None
-    header = [c.strip().strip('"').strip() for c in rows[0]]
-    return header, rows[1:]
+    return rows[0], rows[1:]
+
+
+def plain_header(cell: str) -> str:
+    """A header cell without outer blanks and stray quotes."""
+    return cell.strip().strip('"').strip()
 
 
 def qif_records(text: str) -> list[dict[str, str]] | None:
@@ -264,7 +268,7 @@ def read_records(text: str | None) -> tuple[str, list[dict]] | None:
     table = csv_table(text)
     if table is None:
         return None
-    header, rows = table
+    header, rows = [plain_header(c) for c in table[0]], table[1]
     return "csv", [dict(zip(header, (c.strip() for c in row))) for row in rows]
 
 

@@ -195,3 +195,66 @@ def test_records_are_renamed_then_defaulted_then_cast(spark):
     assert got[2, 1].fields["Amount"] is None and got[2, 1].delivered["Amount"] == "bad" and "unread Amount" in got[2, 1].steps
     assert got[1, 0].version != got[2, 0].version
     assert json.loads(got[3, 0].typed) == {"id": "7", "at": "2025-11-14T06:00:00Z", "amount": 11.99, "n": None, "legs": [{"x": 1}]}
+
+
+def csv_file(header, *rows):
+    return "\n".join([header, *rows]).encode()
+
+
+def registry_tables(spark):
+    schemas = spark.createDataFrame([("f", "Date", "date dd/mm/yyyy", False, 1), ("f", "Name", "text", False, 2), ("f", "Amount", "decimal, 2 places", False, 3)], SCH)
+    t = datetime(2024, 1, 1)
+    make = lambda seq, header, row: (seq, "f", "text/csv", t + timedelta(seq), csv_file(header, row, row), "x")
+    first = [make(k, "Date,Merchant,Amount", "01/02/2024,a,1.00") for k in range(5)] + [make(k, "Date,Name,Amount", "01/02/2024,a,1.00") for k in range(5, 9)]
+    # Later files keep both names, which speaks against the rename that earlier ones bore out.
+    later = [make(k, "Date,Name,Merchant,Amount", "01/02/2024,a,b,1.00") for k in range(20, 60)] + [make(60, "Date, Extra ,Merchant,Amount", "01/02/2024,e,a,100")]
+    return schemas, first, later
+
+
+def test_a_registry_keeps_old_answers(spark, tmp_path):
+    schemas, first, later = registry_tables(spark)
+    path = f"file://{tmp_path}/registry"
+    rows = lambda *parts: spark.createDataFrame(sum(parts, []), RAW)
+    old = {tuple(r) for r in drift.schema_changes(rows(first), schemas, path=path).collect()}
+    assert old == {(k, "Name", "renamed") for k in range(5)}
+    registry = drift.SchemaRegistry(spark, path)
+    before = {tuple(r) for r in registry.versions().select("version", "fingerprint").collect()}
+    again = {tuple(r) for r in drift.schema_changes(rows(first, later), schemas, path=path).collect()}
+    assert {r for r in again if r[0] < 20} == old
+    assert {r for r in again if r[0] == 60} == {(60, "Name", "renamed"), (60, " Extra ", "added"), (60, "Amount", "retyped")} and (20, "Merchant", "added") in again
+    after = {tuple(r) for r in drift.SchemaRegistry(spark, path).versions().select("version", "fingerprint").collect()}
+    assert before < after and len({v for v, _ in after}) == len(after)
+    steps = {(r.version, r.kind, r.field_name, r.new_name) for r in drift.migration_steps(drift.SchemaRegistry(spark, path).versions()).collect()}
+    assert {(k, f, n) for _, k, f, n in steps} == {("rename", "Name", "merchant"), ("cast", "Amount", None)}
+
+
+def test_chained_renames_and_doubled_headers(spark):
+    schemas, _, _ = registry_tables(spark)
+    rows = [(1, "f", None, datetime(2024, 1, 1), csv_file("Date,Shop,Amount", "01/02/2024,a,1.00"), "x"), (2, "f", None, None, csv_file("Date,DATE,Name,Amount", "01/02/2024,02/02/2024,b,2.00"), "x")]
+    renames = spark.createDataFrame([("f", "Name", "merchant"), ("f", "merchant", "shop")], "source string, old_name string, new_name string")
+    df = spark.createDataFrame(rows, RAW)
+    assert {tuple(r) for r in drift.schema_changes(df, schemas, renames).collect()} == {(1, "Name", "renamed")}
+    got = {r.arrival_seq: r for r in drift.consistent_records(df, schemas, renames).collect()}
+    assert got[1].fields["Name"] == "a" and got[1].amount_minor == 100 and got[2].fields["Date"] == "01/02/2024" and got[2].fields["Name"] == "b"
+
+
+def test_depth_is_the_documents_own(spark):
+    schemas = spark.createDataFrame([("s", "a", "array of objects", True, 1), ("s", "a.b", "array of objects", True, 2), ("s", "a.b.c", "array of objects", True, 3), ("s", "a.x", "string", True, 4), ("s", "a.b.n", "integer", True, 5)], SCH)
+    t = datetime(2024, 1, 1)
+    one = lambda doc: {r.node_path for r in nested.nested_rows(spark.createDataFrame([(1, "s", None, t, json.dumps(doc).encode(), "x")], RAW), schemas).collect()}
+    assert one({"note": "]]]]]]]]", "a": [{"b": [{"c": [{"d": 1}]}]}]}) == {"a[0]", "a[0].b[0]", "a[0].b[0].c[0]"}
+    doc, want = {}, set()
+    at = doc
+    path = ""
+    for name in "abcab":
+        at[name] = {}
+        at = at[name]
+        path = f"{path}.{name}[0]".lstrip(".")
+        want.add(path)
+    at["x"] = "end"
+    assert one(doc) == want
+    rows = nested.nested_rows(spark.createDataFrame([(1, "s", None, t, json.dumps({"r": [{"a": {"x": "y", "b": [{"n": 5}, 7, {"n": "6"}]}}]}).encode(), "x")], RAW), schemas)
+    tables = nested.documented_tables(schemas, {"s": "r"})
+    assert tables == {"r": {}, "r.a": {"x": "$.x"}, "r.a.b": {"n": "$.n"}, "r.a.b.c": {}}
+    got = [tuple(r)[:5] for r in nested.child_table(rows, "r.a.b", tables["r.a.b"]).orderBy("node_path").collect()]
+    assert got == [(1, "r[0].a[0].b[0]", "r[0].a[0]", [0, 0, 0], "5"), (1, "r[0].a[0].b[2]", "r[0].a[0]", [0, 0, 2], "6")]
