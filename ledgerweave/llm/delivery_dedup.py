@@ -5,11 +5,12 @@ encoding, wording and volatile ids do not count. Winnowing that list with a wind
 neighbouring pair. If two lists share four fifths of the larger one, at most two fifths of it are breaks between shared runs, so some
 run has two neighbours and both lists keep the same hash of it: the prescreen loses nothing at the threshold of 0.8.
 
-The store keeps, per batch and append-only: the distinct record sets, their prints, and one Bloom filter per hash partition. A new
-batch asks the filters first, looks positives up in the prints, verifies shared coverage on the held record hashes and then adds
-itself to both. Exact copies collapse to one set before any join. Per set the earliest holder of any of its prints is verified first;
-when it qualifies it is the answer, because no earlier set shares a print. Only the rest compare with all holders, so a large group
-of near copies costs one comparison a member.
+The store keeps what it holds in a folder: distinct record sets by batch, and their prints in segments, each cut into buckets of bounded
+size with one Bloom filter a bucket. A new batch asks the filters; only buckets with a positive answer are read, only sets that share a
+print are fetched, shared coverage is verified on their record hashes, and the batch adds itself as a new segment. Segments of a level are merged
+when there are `FAN` of them, so filters to ask grow with the logarithm of the history. Exact copies collapse to one set before any
+join. Per set the earliest holder of any of its prints is verified first; when it qualifies it is the answer, because no earlier set
+shares a print. Only the rest compare with all holders, so a large group of near copies costs one comparison a member.
 
 Edge cases: null, empty, unreadable payloads and payloads without records take no part; null account or source is a scope of its own;
 ties in `fetched_at` go by `arrival_seq`, a null `fetched_at` counts as earliest; repeated rows of one `arrival_seq` count once; extra
@@ -25,18 +26,20 @@ from uuid import uuid4
 import numpy as np
 import pandas as pd
 import xxhash
-from py4j.java_gateway import JavaObject
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
 from ..sources.artefacts import decode, read_records
 from ..sources.records import day_and_amount, entry_name
+from ..store import BatchFolder
 
 THRESHOLD = 0.8
 WINDOW = 2
-#: Hash partitions of the prints and their filters; a filter's size follows its partition's content.
-BUCKETS = 48
+#: Prints a bucket holds on average, and new prints that one task asks a filter about.
+BUCKET_PRINTS = 1 << 18
+#: Segments of one level that are merged into one of the next.
+FAN = 8
 BITS_PER_PRINT = 12
 PROBES = 6
 
@@ -75,7 +78,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for seq, account, source, at, payload in pdf[["arrival_seq", "account_ref", "source", "at", "payload"]].itertuples(index=False):
             found = read_records(decode(payload))
             if found and found[1]:
-                scope = f"{account}\x1f{source}"
+                scope = "\x1f".join("\x00" if part is None else part for part in (account, source))
                 hashes = record_hashes(found[1], scope)
                 out.append((seq, _signed(scope), at, hashes, winnow(hashes)))
         yield pd.DataFrame(out, columns=["arrival_seq", "scope", "at", "hashes", "prints"])
@@ -112,9 +115,10 @@ def _screen(new: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
     prints = new["print"].to_numpy()
     held = np.zeros(len(prints), dtype=bool)
     for bits in filters["bits"]:
-        field = np.unpackbits(np.frombuffer(bits, dtype=np.uint8))
-        held |= field[_positions(prints, len(field))].all(axis=0)
-    return new.loc[held, ["print"]]
+        packed = np.frombuffer(bits, dtype=np.uint8)
+        at = _positions(prints, len(packed) * 8)
+        held |= ((packed[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7)))) & np.uint64(1)).astype(bool).all(axis=0)
+    return new.loc[held, ["segment", "bucket", "print"]]
 
 
 def _shared(a: str, b: str) -> Column:
@@ -123,67 +127,103 @@ def _shared(a: str, b: str) -> Column:
 
 
 class FingerprintStore:
-    """A persistent, append-only store of record sets, prints and Bloom filters in a shared folder, with one writer at a time.
+    """A persistent store of record sets, prints and Bloom filters in a shared folder, with one writer at a time.
 
-    A batch counts once its commit marker is there. A store opened again goes on after the last such batch; what an unfinished batch
-    left is written anew.
+    A batch counts once its commit marker is there; the marker names the live segments. A store opened again goes on after the last such
+    batch; what an unfinished batch left is written anew, and committed tables are never overwritten.
     """
 
-    def __init__(self, spark: SparkSession, path: str, threshold: float = THRESHOLD) -> None:
-        self.spark, self.path, self.threshold = spark, path, threshold
-        self.batches = self._completed()
-
-    def _marker(self, batch: int) -> tuple[JavaObject, JavaObject]:
-        """The file system and the path of a batch's commit marker."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/batch={batch}")
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
-
-    def _completed(self) -> int:
-        k = 0
-        while (mark := self._marker(k))[0].exists(mark[1]):
-            k += 1
-        return k
-
-    def _commit(self) -> None:
-        files, at = self._marker(self.batches)
-        files.create(at, False).close()
-        self.batches += 1
-
-    def _read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.path}/{table}/batch={k}" for k in range(self.batches)])
-
-    def _write(self, df: DataFrame, table: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/{table}/batch={self.batches}")
-        return self.spark.read.parquet(f"{self.path}/{table}/batch={self.batches}")
-
-    def _positives(self, prints: DataFrame) -> DataFrame:
-        """Those of the new prints that some filter of the history claims to hold."""
-        new = prints.select("bucket", "print").distinct()
-        return new.groupBy("bucket").cogroup(self._read("filters").groupBy("bucket")).applyInPandas(_screen, "print bigint")
+    def __init__(self, spark: SparkSession, path: str, threshold: float = THRESHOLD, bucket_prints: int = BUCKET_PRINTS, fan: int = FAN) -> None:
+        self.spark, self.threshold, self.bucket_prints, self.fan = spark, threshold, bucket_prints, fan
+        self.folder = BatchFolder(spark, path)
+        self._open()
+
+    @property
+    def batches(self) -> int:
+        return self.folder.batches
+
+    def _open(self) -> None:
+        self.folder.batches = self.folder.completed()
+        note = self.folder.note()
+        #: Live segments as (folder, level, buckets), and into how many buckets each batch's sets are cut.
+        self.segments: list[list] = note.get("segments", [])
+        self.set_buckets: list[int] = note.get("set_buckets", [])
+
+    def _buckets(self, rows: int) -> int:
+        return max(1, -(-rows // self.bucket_prints))
+
+    def _segment(self, prints: DataFrame, rows: int, level: int) -> list:
+        """Write prints ``print, set_id, first, home`` as one segment of the batch that is being made."""
+        n, name = self._buckets(rows), f"segment-{level}"
+        placed = prints.withColumn("bucket", F.pmod("print", F.lit(n)).cast("int")).repartition("bucket")
+        held = self.folder.write(placed, name, "bucket")
+        filters = held.select("bucket", "print").distinct().groupBy("bucket").applyInPandas(_fill, "bucket int, bits binary")
+        self.folder.write(filters, f"{name}-filters")
+        return [f"{name}/batch={self.batches}", level, n]
+
+    def _at(self, name: str) -> str:
+        return f"{self.folder.path}/{name}"
+
+    def _positives(self, prints: DataFrame, rows: int) -> DataFrame:
+        """``segment, bucket, print`` of the new prints that a filter of the history claims to hold; a bucket's questions are cut into bounded chunks."""
+        new, filters = None, None
+        for k, (name, _, n) in enumerate(self.segments):
+            chunks = self._buckets(-(-rows // n))
+            asked = prints.select("print").distinct().select(F.lit(k).alias("segment"), F.pmod("print", F.lit(n)).cast("int").alias("bucket"), F.pmod(F.xxhash64("print"), F.lit(chunks)).cast("int").alias("chunk"), "print")
+            path, _, batch = name.partition("/")
+            told = self.spark.read.parquet(self._at(f"{path}-filters/{batch}")).select(F.lit(k).alias("segment"), "bucket", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "bits")
+            new, filters = (asked, told) if new is None else (new.unionByName(asked), filters.unionByName(told))
+        key = ["segment", "bucket", "chunk"]
+        return new.groupBy(*key).cogroup(filters.groupBy(*key)).applyInPandas(_screen, "segment int, bucket int, print bigint")
+
+    def _held_prints(self, positives: DataFrame) -> DataFrame | None:
+        """The rows of the positive prints; only buckets with a positive are read. The list of buckets is short: one for `bucket_prints` prints."""
+        wanted: dict[int, list[int]] = {}
+        for r in positives.select("segment", "bucket").distinct().collect():
+            wanted.setdefault(r.segment, []).append(r.bucket)
+        out = None
+        for k, buckets in sorted(wanted.items()):
+            rows = self.spark.read.parquet(self._at(self.segments[k][0])).where(F.col("bucket").isin(*buckets)).drop("bucket")
+            out = rows if out is None else out.unionByName(rows)
+        return None if out is None else out.join(positives.select("print").distinct(), "print", "left_semi")
+
+    def _held_sets(self, wanted: DataFrame) -> DataFrame | None:
+        """Record hashes of held sets ``home, held_id``; only the buckets they lie in are read."""
+        counts = F.array(*map(F.lit, self.set_buckets))
+        placed = wanted.withColumn("bucket", F.pmod("held_id", F.element_at(counts, F.col("home") + 1)).cast("int"))
+        homes: dict[int, list[int]] = {}
+        for r in placed.select("home", "bucket").distinct().collect():
+            homes.setdefault(r.home, []).append(r.bucket)
+        out = None
+        for home, buckets in sorted(homes.items()):
+            rows = self.spark.read.parquet(self._at(f"sets/batch={home}")).where(F.col("bucket").isin(*buckets)).select(F.col("set_id").alias("held_id"), F.col("hashes").alias("held_hashes"))
+            out = rows if out is None else out.unionByName(rows)
+        return None if out is None else out.join(wanted.select("held_id").distinct(), "held_id", "left_semi")
 
     def add(self, signed: DataFrame) -> DataFrame:
         """Tie a batch of signatures to what is held and to its own earlier rows, then hold it too.
 
         Gives ``arrival_seq, repeats`` for the rows that repeat an earlier one. Batches are to come in the order of time.
         """
-        self.batches = self._completed()
+        self._open()
+        write = self.folder.write
         order = F.struct("at", "arrival_seq")
         sets = (
             signed.groupBy("scope", "hashes")
             .agg(F.min(order).alias("first"), F.any_value("prints").alias("prints"))
             .select(F.xxhash64("scope", "hashes").alias("set_id"), "first", "hashes", "prints")
         )
-        sets = self._write(sets, "new_sets")
-        prints = self._write(
-            sets.select("set_id", "first", F.explode("prints").alias("print")).withColumn("bucket", F.pmod("print", F.lit(BUCKETS)).cast("int")), "new_prints"
-        )
-        mine = prints.select("print", F.col("set_id").alias("held_id"), F.col("first").alias("held_first"))
-        holders, known = mine, sets.select(F.col("set_id").alias("held_id"), F.col("hashes").alias("held_hashes"))
-        if self.batches:
-            old = self._read("prints").select("print", F.col("set_id").alias("held_id"), F.col("first").alias("held_first"))
-            holders = mine.unionByName(old.join(self._positives(prints), "print", "left_semi"))
-            known = known.unionByName(self._read("sets").select(F.col("set_id").alias("held_id"), F.col("hashes").alias("held_hashes")))
-        holders = self._write(holders, "holders")
+        sets = write(sets, "new_sets")
+        prints = write(sets.select("set_id", "first", F.explode("prints").alias("print")), "new_prints")
+        n_prints = prints.count()
+        mine = prints.select("print", F.col("set_id").alias("held_id"), F.col("first").alias("held_first"), F.lit(self.batches).alias("home"))
+        old = self._held_prints(write(self._positives(prints, n_prints), "positives")) if self.segments else None
+        holders = mine if old is None else mine.unionByName(old.select("print", F.col("set_id").alias("held_id"), F.col("first").alias("held_first"), "home"))
+        holders = write(holders, "holders")
+        known = sets.select(F.col("set_id").alias("held_id"), F.col("hashes").alias("held_hashes"))
+        if old is not None:
+            told = self._held_sets(holders.where(F.col("home") < self.batches).select("home", "held_id").distinct())
+            known = known if told is None else known.unionByName(told)
         earliest = holders.groupBy("print").agg(F.min(F.struct("held_first", "held_id")).alias("held"))
         lead = (
             prints.join(earliest, "print")
@@ -193,7 +233,7 @@ class FingerprintStore:
             .select("set_id", "held.held_id", "held.held_first")
         )
         own = sets.select("set_id", "first", "hashes")
-        checked = self._write(
+        checked = write(
             lead.join(own, "set_id").join(known, "held_id").select("set_id", "first", "held_first", (_shared("hashes", "held_hashes") >= self.threshold).alias("ok")).distinct(), "leads"
         )
         rest = checked.where("NOT ok").select("set_id", F.col("held_first").alias("after"), "first")
@@ -206,20 +246,38 @@ class FingerprintStore:
         )
         wide = pairs.join(own, "set_id").join(known, "held_id").where(_shared("hashes", "held_hashes") >= self.threshold)
         tied = checked.where("ok").select("set_id", "held_first").unionByName(wide.select("set_id", "held_first")).groupBy("set_id").agg(F.min("held_first").alias("held_first"))
-        tied = self._write(tied, "tied")
+        tied = write(tied, "tied")
         # A copy repeats what its set repeats, else the set's first delivery.
         placed = signed.select("arrival_seq", "at", F.xxhash64("scope", "hashes").alias("set_id")).join(own.select("set_id", "first"), "set_id").join(tied, "set_id", "left")
         origin = F.coalesce("held_first", "first")
-        found = placed.where(origin < order).select("arrival_seq", origin["arrival_seq"].alias("repeats")).distinct()
-        found = self._write(found, "found")
-        # Sets that the history already holds bring no new prints.
-        fresh = sets if not self.batches else sets.join(self._read("sets").select("set_id"), "set_id", "left_anti")
-        fresh = self._write(fresh.select("set_id", "first", "hashes"), "sets")
-        fresh_prints = self._write(prints.join(fresh.select("set_id"), "set_id", "left_semi").select("print", "set_id", "first", "bucket"), "prints")
-        self._write(fresh_prints.select("bucket", "print").distinct().groupBy("bucket").applyInPandas(_fill, "bucket int, bits binary"), "filters")
-        self._commit()
+        found = write(placed.where(origin < order).select("arrival_seq", origin["arrival_seq"].alias("repeats")).distinct(), "found")
+        # A set that the history already holds shares all its prints with itself, so it is among the holders; it brings nothing new.
+        fresh = sets
+        if old is not None:
+            again = holders.where(F.col("home") < self.batches).select(F.col("held_id").alias("set_id")).distinct()
+            fresh = sets.join(again, "set_id", "left_anti")
+        n = self._buckets(sets.count())
+        write(fresh.select("set_id", "first", "hashes", F.pmod("set_id", F.lit(n)).cast("int").alias("bucket")).repartition("bucket"), "sets", "bucket")
+        new = prints.join(fresh.select("set_id"), "set_id", "left_semi").select("print", "set_id", "first", F.lit(self.batches).alias("home"))
+        if not fresh.isEmpty():
+            self.segments.append(self._segment(new, n_prints, 0))
+            self._merge()
+        self.set_buckets.append(n)
+        self.folder.commit({"segments": self.segments, "set_buckets": self.set_buckets})
         return found
 
+    def _merge(self) -> None:
+        """Merge a level that is full into one segment of the next."""
+        level = 0
+        while len(full := [s for s in self.segments if s[1] == level]) >= self.fan:
+            parts = [self.spark.read.parquet(self._at(name)).drop("bucket") for name, _, _ in full]
+            whole = parts[0]
+            for part in parts[1:]:
+                whole = whole.unionByName(part)
+            merged = self._segment(whole, whole.count(), level + 1)
+            self.segments = [s for s in self.segments if s[1] != level] + [merged]
+            level += 1
+
 
 def repeated_deliveries(artefacts: DataFrame, batches: int = 3, path: str | None = None) -> DataFrame:
     """Replay all artefacts in `batches` spans of time through one store: ``seq_a, seq_b``, the smaller number first.

@@ -2,12 +2,13 @@
 
 Nodes are the sentences of all documents and of the graded examples, and their words and word pairs (hashed to ``BUCKETS`` nodes, so the
 word side has a fixed size whatever the corpus). Graded sentences are clamped to their band. In turn every word takes the mean of its
-sentences, a graded sentence counting ``GRADED_MASS`` times, and every free sentence the weighted mean of its words, where words that
-occur in few bands weigh more. An iteration reads the encoded corpus once: each task adds up its words' sums before the shuffle, and only
-the word vector (at most ``BUCKETS`` rows) travels to the driver and back.
+sentences, a graded sentence counting ``GRADED_MASS`` times and all free ones together at most ``FREE_MASS`` times, and every free sentence the weighted mean of its words, where words that
+occur in few bands weigh more. This goes on until the word scores have settled: their mean change by sentences falls below
+``TOLERANCE``. An iteration reads the encoded corpus once: each task adds up its words' sums before the shuffle, and only the word vector
+(at most ``BUCKETS`` rows) travels to the driver and back.
 
-A sentence is running English prose if it has two different words or more and at least half of its words and pairs are known from the
-graded examples. A document's level is the mean over its prose by length; its hard share is the length of prose of band 4 or 5 over the length of all of it.
+A sentence is running English prose if it has two different words of two letters or more and either at least half of its words and pairs are known from
+the graded examples or it is built with English function words as prose is; words it brings get their score by propagation. A document's level is the mean over its prose by length; its hard share is the length of prose of band 4 or 5 over the length of all of it.
 
 Edge cases: null, empty and blank texts have no sentences: level null, shares 0; texts without prose likewise; without graded examples all
 levels are null; graded rows without band or text are ignored; repeated texts get equal results; extra columns are ignored.
@@ -29,9 +30,14 @@ from ..session import shared_folder
 
 #: Nodes of the word side.
 BUCKETS = 1 << 18
-#: How many free sentences one graded sentence outweighs.
+#: What one graded sentence weighs.
 GRADED_MASS = 50.0
-ITERATIONS = 3
+#: How much all free sentences of a word may weigh together: however large the corpus, it cannot drown the examples.
+FREE_MASS = 25.0
+#: The mean change of a word's score, weighted by its sentences, below which propagation has settled.
+TOLERANCE = 0.01
+#: Words and share of function words from which a sentence is built as English prose is, and how many different ones it has.
+PROSE_WORDS, FUNCTION_SHARE, FUNCTION_WORDS = 8, 0.35, 4
 #: The score from which a sentence is of band 4 or 5.
 HARD = 3.5
 #: The most graded examples used (each is a labelled sample row).
@@ -43,7 +49,14 @@ _SENTENCE = re.compile(r"(?<=[.!?;])\s+|[\r\n]+")
 _NUMBER = re.compile(r"[£$€]?\d[\d.,]*")
 _WORD = re.compile(r"[a-z']+")
 
-ENCODED = "doc_id bigint, chars array<int>, counts array<int>, feats array<int>"
+# Common English function words that are no common words of neighbouring languages.
+ENGLISH = frozenset(
+    "about after again all although and any anyone are as because been before being both but by can could did do does each either every few for from had has have he her here him his how if into is it its itself "
+    "just may might more most must my neither no nor not nothing of once only or other our ours own perhaps shall she should since some such than that the their them then there these they this those though through "
+    "to too under until unless upon very was we were what when where whether which while who whom whose why will with within without would yet you your".split()
+)
+
+ENCODED = "doc_id bigint, chars array<int>, counts array<int>, english array<boolean>, feats array<int>"
 
 
 def sentences(text: str) -> list[str]:
@@ -53,34 +66,46 @@ def sentences(text: str) -> list[str]:
 
 def features(sentence: str) -> list[int]:
     """The nodes of a sentence's words and neighbouring word pairs, each once; numbers do not count."""
+    return _features(sentence)[0]
+
+
+def _features(sentence: str) -> tuple[list[int], bool]:
+    """The nodes of a sentence and whether it is built as English prose is."""
     words = _WORD.findall(_NUMBER.sub(" ", sentence.lower()))
+    if len({w for w in words if len(w) > 1}) < 2:
+        return [], False  # single letters are no prose
     named = {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}
-    return [zlib.crc32(w.encode()) % BUCKETS for w in named]
+    english = False
+    if len(words) >= PROSE_WORDS:
+        common = [w for w in words if w in ENGLISH]
+        english = len(common) >= FUNCTION_SHARE * len(words) and len(set(common)) >= FUNCTION_WORDS
+    return [zlib.crc32(w.encode()) % BUCKETS for w in named], english
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kept: dict[str, list[int]] = {}
+    kept: dict[str, tuple[list[int], bool]] = {}
     for batch in batches:
-        chars, counts, feats, ends, feat_ends = [], [], [], [0], [0]
+        chars, counts, flags, feats, ends, feat_ends = [], [], [], [], [0], [0]
         for text in batch.column(1):
             for piece in sentences(text.as_py() or ""):
                 pattern = _NUMBER.sub("0", piece)
                 found = kept.get(pattern)
                 if found is None:
-                    found = features(pattern)
+                    found = _features(pattern)
                     if len(kept) >= KEPT:
                         kept.clear()
                     kept[pattern] = found
                 chars.append(len(piece))
-                counts.append(len(found))
-                feats.extend(found)
+                counts.append(len(found[0]))
+                flags.append(found[1])
+                feats.extend(found[0])
             ends.append(len(chars))
             feat_ends.append(len(feats))
         lists = [
-            pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
-            for offsets, values in ((ends, chars), (ends, counts), (feat_ends, feats))
+            pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+            for offsets, values, kind in ((ends, chars, pa.int32()), (ends, counts, pa.int32()), (ends, flags, pa.bool_()), (feat_ends, feats, pa.int32()))
         ]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["doc_id", "chars", "counts", "feats"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["doc_id", "chars", "counts", "english", "feats"])
 
 
 def word_side(n: np.ndarray, total: np.ndarray, squares: np.ndarray, graded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +117,7 @@ def word_side(n: np.ndarray, total: np.ndarray, squares: np.ndarray, graded: np.
     return score, weight, graded
 
 
-def levels(words: tuple[np.ndarray, np.ndarray, np.ndarray], counts: np.ndarray, feats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def levels(words: tuple[np.ndarray, np.ndarray, np.ndarray], counts: np.ndarray, feats: np.ndarray, english: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Score of each sentence (nan without known words) and whether it is running prose."""
     scores, weights, graded = words
     unit = np.repeat(np.arange(len(counts)), counts)
@@ -101,7 +126,7 @@ def levels(words: tuple[np.ndarray, np.ndarray, np.ndarray], counts: np.ndarray,
     with np.errstate(divide="ignore", invalid="ignore"):
         score = np.bincount(unit, w * scores[feats], len(counts)) / np.where(mass > 0, mass, np.nan)
         known = np.bincount(unit, graded[feats], len(counts)) / np.maximum(counts, 1)
-    return score, (known >= 0.5) & (counts >= 3) & ~np.isnan(score)
+    return score, ((known >= 0.5) | english) & (counts >= 3) & ~np.isnan(score)
 
 
 def graded_sums(graded: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,7 +152,7 @@ def _send(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
             counts, feats = _flat(batch, "counts"), _flat(batch, "feats")
             if not len(feats):
                 continue
-            score, prose = levels(words, counts, feats)
+            score, prose = levels(words, counts, feats, _flat(batch, "english").astype(bool))
             score = np.where(prose, score, np.nan)  # only prose passes difficulty on
             each = np.repeat(score, counts)
             good = ~np.isnan(each)
@@ -146,7 +171,7 @@ def _judge(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
             counts, feats, chars = _flat(batch, "counts"), _flat(batch, "feats"), _flat(batch, "chars").astype(float)
             docs = batch.num_rows
             doc = np.repeat(np.arange(docs), np.diff(batch.column(1).offsets.to_numpy()))
-            score, prose = levels(words, counts, feats)
+            score, prose = levels(words, counts, feats, _flat(batch, "english").astype(bool))
             whole = np.maximum(np.bincount(doc, chars, docs), 1)
             length = np.bincount(doc[prose], chars[prose], docs)
             level = np.bincount(doc[prose], (chars * np.nan_to_num(score))[prose], docs)
@@ -161,8 +186,8 @@ def _judge(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
     return run
 
 
-def reading_levels(documents: DataFrame, graded: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
-    """``doc_id, level, prose_share, hard_share`` of every document, on the scale of the graded bands."""
+def reading_levels(documents: DataFrame, graded: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """``doc_id, level, prose_share, hard_share`` of every document, on the scale of the graded bands; propagated until changes fall below `tolerance`."""
     spark = documents.sparkSession
     examples = graded.where("band IS NOT NULL AND text IS NOT NULL").select("band", "text").distinct().limit(GRADED_BOUND).collect()
     clamped = graded_sums([(int(r[0]), r[1]) for r in examples])
@@ -171,13 +196,20 @@ def reading_levels(documents: DataFrame, graded: DataFrame, iterations: int = IT
     documents.select("doc_id", "text").mapInArrow(_encode, ENCODED).write.option("compression", "zstd").parquet(path)
     encoded = spark.read.parquet(path)
     words = word_side(*clamped, seen)
-    for _ in range(iterations):
+    while True:
         shared = spark.sparkContext.broadcast(words)
         sent = encoded.mapInArrow(_send(shared), "node int, n double, total double, squares double").groupBy("node").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares")).toPandas()
         sums = [c.copy() for c in clamped]
+        node, n = sent["node"].to_numpy(), sent["n"].to_numpy()
         for k, name in enumerate(("n", "total", "squares")):
-            sums[k][sent["node"].to_numpy()] += sent[name].to_numpy()
-        words = word_side(*sums, seen)
+            sums[k][node] += sent[name].to_numpy() * (np.minimum(n, FREE_MASS) / np.maximum(n, 1e-9))
+        fresh = word_side(*sums, seen)
+        # Clamped examples pull every score towards a fixed point, so the changes shrink from one iteration to the next.
+        change = float((np.abs(fresh[0] - words[0]) * sums[0]).sum() / max(sums[0].sum(), 1.0))
+        words = fresh
+        shared.destroy()
+        if change < tolerance:
+            break
     return encoded.mapInArrow(_judge(spark.sparkContext.broadcast(words)), "doc_id bigint, level double, prose_share double, hard_share double")
 
 

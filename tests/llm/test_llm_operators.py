@@ -5,6 +5,7 @@ from datetime import date, datetime, timedelta
 
 import pytest
 from helpers import SMALL, same
+from pyspark.sql import functions as F
 
 from ledgerweave.llm import byte_bpe, canonical, delivery_dedup, linkage, mixing, queries, reading_level
 from ledgerweave.sources.artefacts import decode, read_records
@@ -53,24 +54,44 @@ def test_repeated_deliveries_equal_brute_force(spark, batches):
     assert {tuple(r) for r in got} == expected(rows) and len(got) == len(expected(rows))
 
 
-def test_a_store_goes_on_where_it_was_left(spark, tmp_path):
+def store_files(folder):
+    return {f for f in folder.rglob("*.parquet")}
+
+
+@pytest.mark.parametrize("bucket_prints,fan", [(1 << 18, 8), (7, 2)])
+def test_a_store_goes_on_where_it_was_left(spark, tmp_path, bucket_prints, fan):
     rng, t0 = random.Random(4), datetime(2024, 1, 1)
     base = [(date(2024, 1, 1) + timedelta(k), rng.randint(100, 999)) for k in range(60)]
     rows = [(k, rng.choice(["a", "b"]), "s", t0 + timedelta(hours=k), feed(base[(a := rng.choice([0, 1, 20, 21])) : a + 20]), "x") for k in range(24)]
-    parts, path = (rows[:9], rows[9:16], rows[16:]), f"file://{tmp_path}/store"
-    frames = [spark.createDataFrame(p, RAW) for p in parts]
-    first = delivery_dedup.FingerprintStore(spark, path)
-    got = first.add(delivery_dedup.signatures(frames[0])).collect()
-    held = {t: set((tmp_path / "store" / t / "batch=0").iterdir()) for t in ("sets", "prints", "filters", "found")}
-    again = delivery_dedup.FingerprintStore(spark, path)
-    # What a batch left that never finished does not count and is in nobody's way.
-    again._write(again._read("sets"), "sets")
-    again = delivery_dedup.FingerprintStore(spark, path)
-    assert first.batches == again.batches == 1
-    got += again.add(delivery_dedup.signatures(frames[1])).collect()
-    assert all(set((tmp_path / "store" / t / "batch=0").iterdir()) == files for t, files in held.items())
-    pairs = {(min(r), max(r)) for r in map(tuple, got)} | {tuple(r) for r in delivery_dedup.repeated_deliveries(frames[2], 2, path).collect()}
+    path = f"file://{tmp_path}/store"
+    pairs, held = set(), set()
+    for low, high in ((0, 9), (9, 14), (14, 18), (18, 24)):
+        store = delivery_dedup.FingerprintStore(spark, path, bucket_prints=bucket_prints, fan=fan)
+        if low == 9:
+            # What a batch left that never finished does not count and is in nobody's way.
+            store.folder.write(spark.range(3).withColumn("bucket", F.lit(0)), "sets", "bucket")
+            store = delivery_dedup.FingerprintStore(spark, path, bucket_prints=bucket_prints, fan=fan)
+        pairs |= {(min(r), max(r)) for r in map(tuple, store.add(delivery_dedup.signatures(spark.createDataFrame(rows[low:high], RAW))).collect())}
+        now = store_files(tmp_path / "store")
+        assert held <= now
+        held = now
     assert pairs == expected(rows) and len({b for _, b in pairs if b >= 9}) > 5
+    last = delivery_dedup.FingerprintStore(spark, path)
+    # One of the batches brings nothing new; of the other three two are merged at a fan of two.
+    assert last.batches == 4 and len(last.segments) == (3 if fan == 8 else 2)
+
+
+def test_a_batch_reads_only_the_buckets_it_may_share(spark, tmp_path):
+    t0 = datetime(2024, 1, 1)
+    many = [(k, f"a{k}", "s", t0 + timedelta(hours=k), feed([(date(2024, 1, 1) + timedelta(j), 100 * k + j) for j in range(10)]), "x") for k in range(60)]
+    store = delivery_dedup.FingerprintStore(spark, f"file://{tmp_path}/s", bucket_prints=8)
+    store.add(delivery_dedup.signatures(spark.createDataFrame(many, RAW)))
+    (_, _, buckets), = store.segments
+    one = delivery_dedup.signatures(spark.createDataFrame([(900, *many[5][1:3], t0 + timedelta(days=90), *many[5][4:])], RAW)).checkpoint()
+    prints = one.select(F.explode("prints").alias("print"))
+    read = store._positives(prints, prints.count()).select("bucket").distinct().count()
+    assert buckets > 40 and 0 < read <= prints.count() + 2
+    assert [tuple(r) for r in store.add(one).collect()] == [(900, 5)]
 
 
 def test_no_deliveries(spark):
@@ -215,6 +236,17 @@ def test_one_line_places_a_statement_without_a_name(spark):
     assert got == {("s1", "a1"), ("s4", "a2")}
 
 
+def test_statements_find_their_account_by_digits_letters_and_amounts(spark):
+    d = date
+    rows = spark.createDataFrame(
+        [(1, "s1", "Plain a/c 1234", d(2024, 1, 5), -700), (2, "s1", "Plain a/c 1234", d(2024, 1, 9), -800), (3, "s2", "Holiday Pot", d(2024, 1, 9), -1), (4, "s3", "Other 9999", d(2024, 1, 9), -1), (5, "s4", None, None, -1)],
+        "row_id bigint, statement_id string, account_name string, value_date date, amount bigint",
+    )
+    accounts = spark.createDataFrame([("a1", "Plain Current 1234"), ("a2", "Plain Saver 1234"), ("a3", "HOLIDAY POT"), ("a4", "Quite Different 9999")], "account_id string, label string")
+    payments = spark.createDataFrame([("a1", -700, d(2024, 1, 5)), ("a1", -800, d(2024, 1, 10)), ("a2", -700, d(2024, 1, 5))], "account_id string, t_amount bigint, booked date")
+    assert {tuple(r) for r in linkage.printed_accounts(rows, accounts, payments).collect()} == {("s1", "a1"), ("s2", "a3")}
+
+
 def test_linkage_of_empty_tables(spark):
     lines, payments, accounts, _ = household(spark)
     assert linkage.link(lines.where("row_id < 0"), payments, accounts).count() == 0
@@ -254,3 +286,18 @@ def test_reading_levels_on_held_out_grades(spark):
     right = [(got[r.sample_id].hard_share > 0.5) == (r.band >= 4) for r in held.collect()]
     assert sum(errors) / len(errors) < 0.5 and all(right)
     assert all(r.level is None for r in reading_level.reading_levels(docs, graded.where("false")).collect())
+
+
+def test_ordinary_english_of_other_words_is_prose(spark):
+    graded = spark.read.parquet(f"{SMALL}/graded_texts.parquet")
+    plain = "When the gardener had walked across the meadow, he saw that none of the roses which she had planted were in bloom, and so he went back to the house for a while. It was not what they had hoped for, but there was nothing that anyone could do about it."
+    german = "Der Gaertner ging ueber die Wiese und sah, dass keine der Rosen bluehte, die sie im Herbst gepflanzt hatte, also kehrte er nach Hause zurueck."
+    docs = spark.createDataFrame([(1, plain), (2, german), (3, "date;amount;currency;balance\n" * 20), (4, "{\"amount\": {\"currency\": \"GBP\"}, \"status\": \"SETTLED\"}")], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in reading_level.reading_levels(docs, graded).collect()}
+    assert got[1].prose_share > 0.9 and got[1].level is not None and all(got[k].prose_share == 0 for k in (2, 3, 4))
+
+
+def test_propagation_stops_where_it_has_settled(spark):
+    graded, docs = spark.read.parquet(f"{SMALL}/graded_texts.parquet"), spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id % 7 = 0")
+    soon, late = ({r.doc_id: r for r in reading_level.reading_levels(docs, graded, tolerance=t).collect()} for t in (reading_level.TOLERANCE, reading_level.TOLERANCE / 20))
+    assert all((a.level is None) == (late[k].level is None) and (a.level is None or abs(a.level - late[k].level) < 0.1) for k, a in soon.items())
