@@ -62,4 +62,4 @@ class BatchFolder:
         """A table of the batch that is being made, written and read back."""
         out = df.write.mode("overwrite")
         (out.partitionBy(*partition) if partition else out).parquet(f"{self.path}/{table}/batch={self.batches}")
-        return self.spark.read.parquet(f"{self.path}/{table}/batch={self.batches}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{table}/batch={self.batches}")
