@@ -239,25 +239,41 @@ def worklist(ledger: DataFrame, k: int = 20) -> DataFrame:
 
 
 def explain(ledger: DataFrame) -> DataFrame:
-    """Per description: size, reach, most usual amount (first by date among equals) and the upper median gap."""
+    """Per description: size, reach, most usual amount (first by date among equals) and the upper median gap.
+
+    Gaps are counted by length before the median is taken, so a description with a third of all rows gathers no list of them.
+    """
     w = Window.partitionBy("description").orderBy("value_date", "arrival_seq")
     gap = F.datediff("value_date", F.lag("value_date").over(w))
-    base = ledger.withColumn("gap", gap).groupBy("description").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("account_id").alias("accounts"), F.min("amount_minor").alias("low"), F.max("amount_minor").alias("high"),
-        F.min("value_date").alias("first_date"), F.max("value_date").alias("last_date"), F.array_sort(F.collect_list("gap")).alias("_gaps"),
+    base = ledger.groupBy("description").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("account_id").alias("accounts"), F.min("amount_minor").alias("low"), F.max("amount_minor").alias("high"), F.min("value_date").alias("first_date"), F.max("value_date").alias("last_date"),
     )
     modes = ledger.groupBy("description", "amount_minor").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("value_date", "arrival_seq")).alias("f"))
     first = Window.partitionBy("description").orderBy(F.desc("c"), "f")
     mode = modes.withColumn("_k", F.row_number().over(first)).where("_k = 1").select("description", F.col("amount_minor").alias("usual_amount"))
-    middle = F.expr("element_at(_gaps, CAST(size(_gaps) div 2 + 1 AS INT))")
-    return base.join(mode, "description").withColumn("typical_gap", F.when(F.size("_gaps") > 0, middle)).drop("_gaps")
+    gaps = ledger.withColumn("gap", gap).where("gap IS NOT NULL").groupBy("description", "gap").agg(F.count(F.lit(1)).alias("c"))
+    upto = Window.partitionBy("description").orderBy("gap")
+    middle = gaps.withColumn("_upto", F.sum("c").over(upto)).withColumn("_all", F.sum("c").over(Window.partitionBy("description"))).where("_upto > _all div 2").groupBy("description").agg(F.min("gap").alias("typical_gap"))
+    return base.join(mode, "description").join(middle, "description", "left")
+
+
+#: Rules up to which one projection holds them all as literals; beyond, texts meet rules in a join.
+RULES_BOUND = 5_000
 
 
 def first_match_rules(parts: DataFrame, rules: DataFrame) -> DataFrame:
-    """The first rule in file order whose needle a text contains; rules with an empty value are passed over. Rules are few."""
-    usable = rules.where("value <> ''")
-    hits = parts.join(usable, F.contains(F.lower(F.col("text")), F.lower(F.col("needle"))), "left")
-    return hits.groupBy("id").agg(F.min_by("value", "rule_no").alias("category"), F.min("rule_no").alias("rule_no"))
+    """The first rule in file order whose needle a text contains; rules with an empty value are passed over: ``id, category, rule_no``."""
+    usable = rules.where("value <> '' AND needle IS NOT NULL").select("rule_no", F.lower("needle").alias("needle"), "value").orderBy("rule_no")
+    held = usable.limit(RULES_BOUND + 1).collect()
+    if len(held) > RULES_BOUND:
+        hits = parts.join(usable, F.contains(F.lower(F.col("text")), F.col("needle")), "left")
+        return hits.groupBy("id").agg(F.min_by("value", "rule_no").alias("category"), F.min("rule_no").alias("rule_no"))
+    if not held:
+        return parts.select("id", F.lit(None).cast("string").alias("category"), F.lit(None).cast("int").alias("rule_no"))
+    lines = F.array(*[F.struct(F.lit(r.rule_no).cast("int").alias("rule_no"), F.lit(r.needle).alias("needle"), F.lit(r.value).alias("value")) for r in held])
+    low = F.lower(F.col("text"))
+    first = F.get(F.filter(lines, lambda r: F.contains(low, r["needle"])), F.lit(0))
+    return parts.select("id", first["value"].alias("category"), first["rule_no"].alias("rule_no"))
 
 
 def annotation_winner(log: DataFrame) -> DataFrame:
@@ -360,9 +376,14 @@ def duplicate_ids(payload: DataFrame) -> DataFrame:
 
 def propagation(rows: DataFrame) -> DataFrame:
     """Categories that labelled rows lend to unlabelled ones of the same group within ten per cent of the amount: one value is a target,
-    several are contested. Labelled rows of a group collapse to (value, amount) before the join."""
-    seeds = rows.where("label IS NOT NULL").groupBy("group_key", "label", F.col("amount_minor").alias("seed")).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
-    near = "sign(seed) = sign(amount_minor) AND abs(amount_minor - seed) * 10 <= abs(seed)"
-    met = rows.where("label IS NULL").select("event_id", "group_key", "amount_minor").join(seeds, "group_key").where(near)
+    several are contested. Labelled rows collapse to (group, value, amount), and both sides meet in buckets of the logarithm of the amount,
+    so a usual group does not meet all of itself."""
+    step = 0.1
+    bucket = lambda c, by=1.0: F.floor(F.log(F.greatest(F.abs(F.col(c)), F.lit(1)) * F.lit(by)) / F.lit(step)).cast("int")
+    seeds = rows.where("label IS NOT NULL").select("group_key", "label", F.col("amount_minor").alias("seed"), F.signum("amount_minor").alias("_sign"), bucket("amount_minor").alias("_at")).distinct()
+    near = "abs(amount_minor - seed) * 10 <= abs(seed)"
+    reach = F.sequence(bucket("amount_minor", 0.9) - 1, bucket("amount_minor", 1.12) + 1)
+    asks = rows.where("label IS NULL").select("event_id", "group_key", "amount_minor", F.signum("amount_minor").alias("_sign"), F.explode(reach).alias("_at"))
+    met = asks.join(seeds, ["group_key", "_sign", "_at"]).where(near)
     out = met.groupBy("event_id").agg(F.count_distinct("label").alias("k"), F.min("label").alias("label"))
     return out.select("event_id", F.when(F.col("k") == 1, F.col("label")).alias("target"), (F.col("k") > 1).alias("contested"))

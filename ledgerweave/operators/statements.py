@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 ROW = r"^\s*(\d{1,2})\s+([A-Za-z]{3})[a-z]*\s+(.+?)\s+([\d,]+\.\d{2})\s*(CR)?(?:\s+-?[\d,]+\.\d{2})?\s*$"
 OPENING = r"(?i)(?:balance brought forward|opening balance|previous balance)\D*?(-?[\d,]+\.\d{2})"
 CLOSING = r"(?i)(?:balance carried forward|closing balance|new balance)\D*?(-?[\d,]+\.\d{2})"
+TWO_DATES = r"^\s*(\d{2}/\d{2}/\d{2})\s+(\d{2}/\d{2}/\d{2})\s+(.+?)\s+(-?)\s*£([\d,]+\.\d{2})\s*$"
 STATED = r"(?i)statement date\D*(\d{1,2})\s+([A-Za-z]{3})[a-z]*\s+(\d{4})"
 
 
@@ -80,3 +81,14 @@ def accepted_rows(lines: DataFrame) -> DataFrame:
     """The rows of accepted statements only."""
     good = statement_gate(lines).where("verdict = 'accepted'").select("doc_id", "section")
     return statement_rows(lines).join(good, ["doc_id", "section"], "left_semi")
+
+
+def two_date_rows(lines: DataFrame) -> DataFrame:
+    """Rows of statements that print the day of the purchase and of the booking and money in with a minus: ``doc_id, position, value_date,
+    booking_date, description, amount_minor``. Two-digit years lie after 2000."""
+    rows = lines.where("text IS NOT NULL").dropDuplicates(["doc_id", "page_no", "line_no"]).where(F.col("text").rlike(TWO_DATES))
+    part = lambda k: F.regexp_extract("text", TWO_DATES, k)
+    day = lambda k: F.try_to_date(part(k), "dd/MM/yy")
+    amount = pence(part(5))
+    order = Window.partitionBy("doc_id").orderBy("page_no", "line_no")
+    return rows.select("doc_id", F.row_number().over(order).alias("position"), day(1).alias("value_date"), day(2).alias("booking_date"), part(3).alias("description"), F.when(part(4) == "-", amount).otherwise(-amount).alias("amount_minor"))

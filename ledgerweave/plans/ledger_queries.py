@@ -323,12 +323,18 @@ def statement_lines(spark, sf):
     return statements.statement_rows(lines).select("doc_id", "section", "position", "description", "amount_minor")
 
 
+def statement_gate(spark, sf):
+    """Verdicts over the same texts."""
+    docs = read_table(spark, sf, "documents").where("lower(trim(source)) RLIKE '^statement' AND text IS NOT NULL")
+    return statements.statement_gate(docs.select("doc_id", F.lit(1).alias("page_no"), F.posexplode(F.split("text", "\n")).alias("line_no", "text")))
+
+
 NAMES = (
     "coverage coverage_net ledger_rollup source_counts corroboration content_key occurrence_number entity_id artefact_digest normalise_description group_key parse_amount "
     "format_amount content_match nearest_fuzzy_match recurring_series transfer_pairs resolve_fold review_queue fold_summary agreement_leftovers sibling_attribution destination_doubt agreement_figures month_gaps gap_witnesses transpositions stale_feeds balance_walk "
     "settlement_lag duplication items_by_month sign_by_category worklist explain rule_sweep annotation_winner refusal_streaks asks_last_day audit_partition unbound_accounts "
     "landed_once status_counts observation_projection current_view attribution_gaps could_be_one_payment id_match source_connections walk_convention shape_summary presence_links dead_rules alert_edges rebuild_diff "
-    "orphan_rows mask_text budget_payload duplicate_ids propagation statement_lines"
+    "orphan_rows mask_text budget_payload duplicate_ids propagation statement_lines statement_gate"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}
 

@@ -164,3 +164,69 @@ def test_budget_payload_keeps_internal_and_unbound_rows_out(spark):
         budget.prune_candidates(df, df.where("false").select(F.col("entity_id").alias("imported_id")), F.lit(True))
     runs = spark.createDataFrame([(1, 0, 100), (2, 40, 100), (3, 90, 200)], "id int, a bigint, b bigint").select("id", asks.progress(F.lit(0), F.col("a"), F.lit(30), F.lit(60)).alias("p"))
     assert [r.p and (r.p.per_minute, r.p.minutes_left) for r in runs.orderBy("id").collect()] == [None, (45.0, 30 / 45), (20.0, 1.5)]
+
+
+def test_writes_are_whole_or_not_at_all(spark, tmp_path):
+    from ledgerweave.sinks import exports
+
+    path = f"file://{tmp_path}/out"
+    exports.write_whole(spark.range(3), path)
+    with pytest.raises(Exception):
+        exports.write_whole(spark.range(5).select(F.raise_error(F.lit("no")).alias("id")), path)
+    assert spark.read.parquet(path).count() == 3
+    exports.write_whole(spark.range(7), path)
+    assert spark.read.parquet(path).count() == 7 and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["out"]
+    t = datetime(2024, 1, 1)
+    raw = spark.createDataFrame([(1, "s", "a", "one", t, b"x"), (2, "s", "a", "two", t, b"x"), (3, None, "a", "three", t, b"y")], "arrival_seq bigint, source string, account_ref string, origin string, fetched_at timestamp, payload binary").withColumns({c: F.lit(None).cast("string") for c in ("media_type", "request_meta", "connection_id")})
+    exports.export_raw(raw, f"file://{tmp_path}/raw")
+    got = [json.loads(r.metadata)["origins"] for r in spark.read.parquet(f"file://{tmp_path}/raw").orderBy("digest").collect()]
+    assert sorted(got) == [["one", "two"], ["three"]]
+    exports.export_declared(spark.range(2), f"file://{tmp_path}/declared")
+    assert spark.read.json(f"file://{tmp_path}/declared").count() == 2
+
+
+def test_an_outbox_hands_each_row_on_once(spark, tmp_path):
+    from ledgerweave.sinks import exports
+
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    sent = []
+    for _ in range(2):
+        stream = spark.readStream.schema("id bigint").parquet(str(tmp_path / "in"))
+        exports.hand_on(stream, f"file://{tmp_path}/box", lambda df: sent.extend(r.id for r in df.collect()))
+    assert sorted(sent) == [0, 1, 2, 3, 4]
+
+
+def test_cursors_fall_back_until_their_canary_comes(spark):
+    from ledgerweave.streaming import cursor
+
+    t = lambda m: datetime(2024, 1, 1, 0, m)
+    seen = spark.createDataFrame([("a", t(1), t(0)), ("b", t(2), t(0)), ("c", t(2), t(0)), ("d", None, t(0))], "uid string, updated timestamp, happened timestamp")
+    held = [(r.updated, r.uid) for r in cursor.anchors(seen, 2).collect()]
+    assert held == [(t(2), "b"), (t(1), "a")]
+    assert cursor.poll(lambda since: {"b", "c"}, held) == ("cursor", 1) and cursor.poll(lambda since: {"a"}, held) == ("fallback", 2) and cursor.poll(lambda since: set(), held) == ("sweep", 3)
+    came = spark.createDataFrame([("a", t(1), t(0)), ("b", t(9), t(5)), ("e", None, t(0))], "uid string, updated timestamp, happened timestamp")
+    assert {tuple(r) for r in cursor.anomalies(came, seen, t(2)).collect()} == {("a", "leak"), ("e", "naked"), ("b", "moved")}
+    assert {r.uid for r in cursor.missed(came.where("updated IS NOT NULL"), seen).collect()} == {"b"}
+    assert cursor.amended(came.unionByName(came).withColumn("arrival", F.lit(1))).count() == 3
+
+
+def test_declarations_bindings_and_stamps(spark):
+    d = lambda k: datetime(2024, 1, k)
+    schema = "account_id string, kind string, declared_at timestamp"
+    before = spark.createDataFrame([("a", "x", d(1)), ("b", "x", d(1))], schema)
+    now = identity.declared(before, spark.createDataFrame([("a", "y", d(2)), ("c", "z", d(2))], schema), spark.createDataFrame([("b",)], "account_id string"))
+    assert {tuple(r)[:2] for r in now.collect()} == {("a", "y"), ("c", "z")}
+    renamed = identity.renamed_connection(spark.createDataFrame([("old",), ("x",), (None,)], "connection_id string"), "old", "new")
+    assert {r.connection_id for r in renamed.collect()} == {"new", "x", None}
+    moved = identity.follow(spark.createDataFrame([("e1", 1), ("e2", 2)], "entity_id string, v int"), "entity_id", spark.createDataFrame([("e1", "n1")], "old_id string, new_id string"))
+    assert {tuple(r) for r in moved.collect()} == {("n1", 1), ("e2", 2)}
+    stamps = spark.createDataFrame([("a", "1"), ("b", None), ("c", "2")], "layer string, stamp string")
+    assert {r.layer for r in identity.stale(stamps, F.lit("1")).collect() if r.stale} == {"b", "c"}
+
+
+def test_statements_with_two_days_a_row(spark):
+    from ledgerweave.operators import statements
+
+    lines = spark.createDataFrame([(1, 1, 0, "01/02/24 03/02/24 CORNER SHOP  LONDON   £1,012.50"), (1, 1, 1, "05/02/24 06/02/24 PAYMENT RECEIVED -£50.00"), (1, 1, 2, "Total £5.00"), (1, 1, 3, None)], "doc_id bigint, page_no int, line_no int, text string")
+    got = [(r.value_date, r.booking_date, r.description, r.amount_minor) for r in statements.two_date_rows(lines).orderBy("position").collect()]
+    assert got == [(date(2024, 2, 1), date(2024, 2, 3), "CORNER SHOP  LONDON", -101250), (date(2024, 2, 5), date(2024, 2, 6), "PAYMENT RECEIVED", 5000)]
