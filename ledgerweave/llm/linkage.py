@@ -74,8 +74,6 @@ def printed_accounts(rows: DataFrame, accounts: DataFrame, payments: DataFrame)
     best = votes.groupBy("statement_id").agg(F.max(F.struct("n", (-F.col("d")).alias("d"))).alias("_best"))
     top = votes.join(best, "statement_id").where("n = _best.n AND -d = _best.d").select("statement_id", "account_id")
     shared = top.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy("statement_id"))).where("_k > 1").select("statement_id", "account_id")
-    if shared.isEmpty():
-        return top
     lines = rows.where("value_date IS NOT NULL").join(shared, "statement_id").select("statement_id", "account_id", "row_id", F.abs("amount").alias("_abs"), F.explode(F.sequence(F.date_sub("value_date", 1), F.date_add("value_date", 1))).alias("_day"))
     paid = payments.select("account_id", F.abs("t_amount").alias("_abs"), F.col("booked").alias("_day")).distinct()
     met = lines.join(paid, ["account_id", "_abs", "_day"], "left_semi").groupBy("statement_id", "account_id").agg(F.count_distinct("row_id").alias("m"))
