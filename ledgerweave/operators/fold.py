@@ -13,10 +13,11 @@ from collections import Counter
 from datetime import date
 from heapq import nlargest
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .matching import in_order
+
 WINDOW_DAYS, MANUAL_DAYS = 7, 10
 
 SCHEMA = "event_id bigint, account_id string, entity_id string, match_tier string, needs_review boolean"
@@ -153,9 +154,19 @@ def resolve(keyed: DataFrame) -> DataFrame:
     tied = components(keyed)
     placed = keyed.where("amount_minor IS NOT NULL AND value_date IS NOT NULL").select(*OBSERVED).join(tied, ["account_id", "amount_minor"], "left").withColumn("part", F.coalesce("part", "amount_minor"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("arrival_seq")
-        pdf = pdf.astype(object).where(pdf.notna(), None)
-        return pd.DataFrame(fold_account(pdf.to_dict("records")), columns=["event_id", "account_id", "entity_id", "match_tier", "needs_review"])
+    names = [c for c in OBSERVED if c != "account_id"]
+    return in_order(placed.select("account_id", "part", *names), ["account_id", "part"], ["arrival_seq"], lambda key: _Part(key[0], names), SCHEMA)
+
+
+class _Part:
+    """Gathers the rows of one part, which come in arrival order, and folds them."""
+
+    def __init__(self, account: str, names: list[str]) -> None:
+        self.account, self.names, self.rows = account, names, []
+
+    def push(self, row: tuple) -> list[tuple]:
+        self.rows.append({"account_id": self.account, **dict(zip(self.names, row))})
+        return []
 
-    return placed.groupBy("account_id", "part").applyInPandas(run, SCHEMA)
+    def close(self) -> list[tuple]:
+        return fold_account(self.rows)
