@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
-from datetime import date
+from datetime import date, timedelta
 from typing import Any
 
 import pyarrow as pa
@@ -57,56 +57,101 @@ def in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], walk: Cal
     return df.select(*columns).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-class NearestOnce:
-    """Each asking row takes the nearest free offer within the window, once; ties go to the offer that came first.
+class TakenByDay:
+    """How many rows of each day and side are taken when each asking row takes the nearest free offer within the window, once.
 
-    Rows are ``(day, mine, sign, id, ...)`` by day. Offers of the other sign count only within `flipped` days (None: never) and after
-    those of the same sign at equal distance.
+    Rows are ``(day, mine, n)`` by day. Rows of a day and side are alike but for their order, so those that come first are served first and
+    taken first, and numbers tell all; ties go to the earlier day. Gives ``(*key, day, mine, taken)`` where rows are left.
     """
 
-    def __init__(self, key: tuple, days: int, flipped: int | None = None) -> None:
-        self.key, self.days, self.flipped = key, days, flipped
+    def __init__(self, key: tuple, days: int) -> None:
+        self.key, self.steps = key, [timedelta(k) for k in range(days + 1)]
         self.asks: deque = deque()
-        self.offers: list[tuple[int, tuple]] = []
-        self.count = 0
+        self.offers: dict[date, list[int]] = {}
 
     def push(self, row: tuple) -> list[tuple]:
-        out = self._settle(row[0])
-        if row[1]:
-            self.asks.append(row)
+        day, mine, n = row
+        out = self._settle(day)
+        if mine:
+            self.asks.append((day, n))
         else:
-            self.offers.append((self.count, row))
-            self.count += 1
+            self.offers[day] = [n, 0]
         return out
 
     def close(self) -> list[tuple]:
         return self._settle(None)
 
-    def _settle(self, day: date | None) -> list[tuple]:
+    def _settle(self, now: date | None) -> list[tuple]:
         out = []
-        while self.asks and (day is None or (day - self.asks[0][0]).days > self.days):
-            ask = self.asks.popleft()
-            near = []
-            for place, (k, offer) in enumerate(self.offers):
-                gap, same = abs((offer[0] - ask[0]).days), offer[2] == ask[2]
-                if gap <= (self.days if same else -1 if self.flipped is None else self.flipped):
-                    near.append((gap, not same, k, place))
-            if near:
-                gap, other, _, place = min(near)
-                out.append(self.pair(ask, self.offers.pop(place)[1], other))
-            else:
-                out.append(self.alone(ask))
-        oldest = self.asks[0][0] if self.asks else day
-        gone = len(self.offers) if oldest is None else next((i for i, (_, o) in enumerate(self.offers) if (oldest - o[0]).days <= self.days), len(self.offers))
-        out += [self.alone(o) for _, o in self.offers[:gone]]
-        del self.offers[:gone]
+        while self.asks and (now is None or now - self.asks[0][0] > self.steps[-1]):
+            day, n = self.asks.popleft()
+            open_ = n
+            for step in self.steps:
+                for there in (day - step, day + step):
+                    if open_ and (offer := self.offers.get(there)):
+                        take = min(open_, offer[0] - offer[1])
+                        open_ -= take
+                        offer[1] += take
+            if open_:
+                out.append((*self.key, day, True, n - open_))
+        oldest = self.asks[0][0] if self.asks else now
+        for day in [d for d in self.offers if oldest is None or oldest - d > self.steps[-1]]:
+            n, taken = self.offers.pop(day)
+            if taken < n:
+                out.append((*self.key, day, False, taken))
+        return out
+
+
+class NearestOffer:
+    """Each asking row takes the nearest offer of another account that its account and source have not taken before; ties go to the offer that
+    came first.
+
+    Rows are ``(day, mine, sign, id, account, source)`` by day; an offer has no source. Offers of the other sign count only within `flipped`
+    days and after those of the same sign at equal distance. All askers read the same offers: each takes those of a day and sign from the
+    front, so a place in the list is all there is to keep of what it took.
+    """
+
+    def __init__(self, key: tuple, days: int, flipped: int) -> None:
+        self.key, self.days = key, timedelta(max(days, flipped))
+        self.steps = [(timedelta(k), turn) for k in range(max(days, flipped) + 1) for turn in (1, -1) if k <= (days if turn == 1 else flipped)]
+        self.asks: deque = deque()
+        self.offers: dict[date, dict[int, tuple[list, dict]]] = {}
+
+    def push(self, row: tuple) -> list[tuple]:
+        day, mine, sign, event, account, _ = row
+        out = self._settle(day)
+        if mine:
+            self.asks.append(row)
+        else:
+            self.offers.setdefault(day, {}).setdefault(sign, ([], {}))[0].append((event, account))
         return out
 
-    def pair(self, ask: tuple, offer: tuple, flipped: bool) -> tuple:
-        return (*self.key, ask[3], offer[3], flipped, *ask[4:], *offer[4:])
+    def close(self) -> list[tuple]:
+        return self._settle(None)
+
+    def _settle(self, now: date | None) -> list[tuple]:
+        out = []
+        while self.asks and (now is None or now - self.asks[0][0] > self.days):
+            day, _, sign, event, account, source = self.asks.popleft()
+            out.append((account, source, self.key[0], event, *self._nearest(day, sign, account, source)))
+        oldest = self.asks[0][0] if self.asks else now
+        for day in [d for d in self.offers if oldest is None or oldest - d > self.days]:
+            del self.offers[day]
+        return out
 
-    def alone(self, row: tuple) -> tuple:
-        return (*self.key, row[3] if row[1] else None, None if row[1] else row[3], None, *(row[4:] if row[1] else [None] * len(row[4:])), *([None] * len(row[4:]) if row[1] else row[4:]))
+    def _nearest(self, day: date, sign: int, account: str, source: str) -> tuple:
+        for step, turn in self.steps:
+            for there in (day - step, day + step):
+                if there not in self.offers or sign * turn not in self.offers[there]:
+                    continue
+                offers, places = self.offers[there][sign * turn]
+                at = places.get((account, source), 0)
+                while at < len(offers) and offers[at][1] == account:
+                    at += 1
+                places[account, source] = at + 1 if at < len(offers) else at
+                if at < len(offers):
+                    return (*offers[at], turn == -1)
+        return None, None, None
 
 
 def _runs(df: DataFrame, keys: Sequence[str], days: int) -> DataFrame:
@@ -117,32 +162,40 @@ def _runs(df: DataFrame, keys: Sequence[str], days: int) -> DataFrame:
 
 
 SIDES = ["account_id", "left_source", "right_source"]
-PAIRED = "account_id string, left_source string, right_source string, {}amount_minor bigint, _run bigint, left_id bigint, right_id bigint, flipped boolean, left_day date, left_text string, right_day date, right_text string"
 
 
-def _pass(both: DataFrame, extra: Sequence[str], days: int) -> DataFrame:
-    keys = [*SIDES, *extra, "amount_minor", "_run"]
-    placed = _runs(both, keys[:-1], days).select(*keys, "value_date", "mine", F.lit(1).alias("sign"), "event_id", F.col("value_date").alias("day"), "description")
-    return in_order(placed, keys, ["value_date", "description", "event_id"], lambda key: NearestOnce(key, days), PAIRED.format("".join(f"{c} string, " for c in extra)))
+def _numbered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy("description", "event_id")))
+
+
+def _over(numbers: DataFrame, keys: Sequence[str], days: int) -> DataFrame:
+    """Of `numbers` (keys, ``value_date, mine, n``) the days and sides with rows left over, and how many of their rows are ``taken``."""
+    placed = _runs(numbers, keys, days).select(*keys, "_run", "value_date", "mine", F.col("n").cast("bigint").alias("n"))
+    schema = ", ".join(f"{c} {kind}" for c, kind in placed.withColumnRenamed("n", "taken").dtypes)
+    return in_order(placed, [*keys, "_run"], ["value_date"], lambda key: TakenByDay(key, days), schema).drop("_run")
 
 
 def leftovers(rows: DataFrame, days: int = 2, skew_days: int = 7) -> DataFrame:
     """Rows of one source that no row of another source of the account consumes one to one: ``account_id, left_source, right_source, event_id, side``.
 
     First by equal amount within `days`; what is left then by equal amount and text (letter case and outer blanks aside) within `skew_days`.
+    Only numbers of rows are walked; the rows themselves are numbered within their day and those after the taken ones are left.
     """
     slim = rows.where("value_date IS NOT NULL AND amount_minor IS NOT NULL").select("account_id", "amount_minor", "source", "value_date", "event_id", "description")
     seen = slim.select("account_id", "source").distinct()
     pairs = seen.withColumnRenamed("source", "left_source").join(seen.withColumnRenamed("source", "right_source"), "account_id").where("left_source < right_source")
-    both = slim.join(pairs, "account_id").where("source IN (left_source, right_source)").withColumn("mine", F.col("source") == F.col("left_source"))
-    first = _pass(both, [], days).where("left_id IS NULL OR right_id IS NULL")
-    rest = first.select(
-        *SIDES, "amount_minor", F.coalesce("left_day", "right_day").alias("value_date"), F.coalesce("left_id", "right_id").alias("event_id"),
-        F.coalesce("left_text", "right_text").alias("description"), F.col("left_id").isNotNull().alias("mine"),
-    ).withColumn("text", case_folded(F.trim("description")))
-    second = _pass(rest, ["text"], skew_days).where("left_id IS NULL OR right_id IS NULL")
-    side = F.when(F.col("left_id").isNotNull(), F.col("left_source")).otherwise(F.col("right_source"))
-    return second.select(*SIDES, F.coalesce("left_id", "right_id").alias("event_id"), side.alias("side"))
+    group = ["account_id", "source", "amount_minor", "value_date"]
+    placed = _numbered(slim, group)
+    both = placed.groupBy(*group).agg(F.max("_place").alias("n")).join(pairs, "account_id").where("source IN (left_source, right_source)").withColumn("mine", F.col("source") == F.col("left_source"))
+    first = _over(both, [*SIDES, "amount_minor"], days).withColumn("source", F.when(F.col("mine"), F.col("left_source")).otherwise(F.col("right_source")))
+    # A text that is null is a key of its own.
+    text = F.coalesce(F.concat(F.lit("="), case_folded(F.trim("description"))), F.lit(""))
+    rest = placed.join(first, group).where("_place > taken").select(*SIDES, "mine", text.alias("text"), "amount_minor", "value_date", "event_id", "description")
+    group = [*SIDES, "mine", "text", "amount_minor", "value_date"]
+    placed = _numbered(rest, group)
+    second = _over(placed.groupBy(*group).agg(F.max("_place").alias("n")), [*SIDES, "text", "amount_minor"], skew_days)
+    side = F.when(F.col("mine"), F.col("left_source")).otherwise(F.col("right_source"))
+    return placed.join(second, group).where("_place > taken").select(*SIDES, "event_id", side.alias("side"))
 
 
 def sibling_attribution(rows: DataFrame, left: DataFrame, same_days: int = 2, opposite_days: int = 1) -> DataFrame:
@@ -155,21 +208,24 @@ def sibling_attribution(rows: DataFrame, left: DataFrame, same_days: int = 2, op
     slim = rows.where("value_date IS NOT NULL AND amount_minor IS NOT NULL").select("event_id", "account_id", "source", "value_date", "amount_minor", "description")
     other = F.when(F.col("side") == F.col("left_source"), F.col("right_source")).otherwise(F.col("left_source"))
     mine = left.select("event_id", "account_id", F.col("side").alias("source"), other.alias("other_source")).join(slim.drop("account_id", "source"), "event_id")
-    mine = mine.withColumn("_abs", F.abs("amount_minor"))
-    # Offers go only to accounts that ask for their amount around their day; buckets of `same_days` keep a usual amount from meeting all of itself.
-    bucket = lambda c: F.floor(F.unix_date(c) / same_days)
-    asked = mine.select("account_id", "source", "other_source", "_abs", F.explode(F.array(*[bucket("value_date") + k for k in (-1, 0, 1)])).alias("_at")).distinct()
-    pool = slim.select(F.col("event_id").alias("offer"), F.col("account_id").alias("home"), F.col("source").alias("other_source"), "value_date", "amount_minor", F.abs("amount_minor").alias("_abs"), "description", bucket("value_date").alias("_at"))
-    offers = asked.join(pool, ["other_source", "_abs", "_at"]).where("home <> account_id")
-    keys = ["account_id", "source", "other_source", "_abs", "_run"]
-    sign = F.signum(F.col("amount_minor")).cast("int")
-    whole = mine.select(*keys[:-1], "value_date", F.lit(True).alias("mine"), sign.alias("sign"), "event_id", F.col("account_id").alias("home"), "description").unionByName(
-        offers.select(*keys[:-1], "value_date", F.lit(False).alias("mine"), sign.alias("sign"), F.col("offer").alias("event_id"), "home", "description")
-    )
-    placed = _runs(whole, keys[:-1], same_days).select(*keys, "value_date", "mine", "sign", "event_id", "home", "description")
-    schema = "account_id string, source string, other_source string, _abs bigint, _run bigint, event_id bigint, sibling_event_id bigint, opposite_sign boolean, own_home string, own_text string, sibling_account string, sibling_text string"
-    met = in_order(placed, keys, ["value_date", "description", "event_id"], lambda key: NearestOnce(key, same_days, opposite_days), schema)
-    return met.where("event_id IS NOT NULL").select("account_id", "source", "other_source", "event_id", "sibling_event_id", "sibling_account", "opposite_sign")
+    sized = [F.abs("amount_minor").alias("_abs"), F.signum(F.col("amount_minor")).cast("int").alias("sign")]
+    mine = mine.select("event_id", "account_id", "source", "other_source", "value_date", "description", *sized)
+    pool = slim.where("account_id IS NOT NULL").select(F.col("source").alias("other_source"), "value_date", "event_id", "account_id", "description", *sized)
+    # Askers take the offers of a day and sign from the front, leaving out those of their own account. So no one gets beyond as many offers
+    # as it has rows around that day and its account has offers there; what comes later can reach no one and isn't walked.
+    day, days = ["other_source", "_abs", "value_date"], max(same_days, opposite_days)
+    around = F.explode(F.array(*[F.date_add("value_date", k) for k in range(-days, days + 1)])).alias("value_date")
+    asked = mine.groupBy("account_id", "source", *day).agg(F.count(F.lit(1)).alias("n")).select("account_id", "source", "other_source", "_abs", around, "n")
+    asked = asked.groupBy("account_id", "source", *day).agg(F.sum("n").alias("n")).groupBy(*day).agg(F.max("n").alias("asks"))
+    owned = pool.groupBy(*day, "sign", "account_id").agg(F.count(F.lit(1)).alias("n")).groupBy(*day, "sign").agg(F.max("n").alias("owned"))
+    reach = owned.join(asked, day).select(*day, "sign", (F.col("owned") + F.col("asks")).alias("reach"))
+    offers = _numbered(pool, [*day, "sign"]).join(reach, [*day, "sign"]).where("_place <= reach")
+    keys = ["other_source", "_abs", "_run"]
+    columns = ["value_date", "mine", "sign", "event_id", "account_id", "source", "description"]
+    whole = mine.withColumn("mine", F.lit(True)).select(*keys[:-1], *columns).unionByName(offers.withColumns({"mine": F.lit(False), "source": F.lit(None).cast("string")}).select(*keys[:-1], *columns))
+    placed = _runs(whole, keys[:-1], days).select(*keys, *columns)
+    schema = "account_id string, source string, other_source string, event_id bigint, sibling_event_id bigint, sibling_account string, opposite_sign boolean"
+    return in_order(placed, keys, ["value_date", "description", "event_id"], lambda key: _Slim(NearestOffer(key, same_days, opposite_days), 6), schema)
 
 
 def destination_doubt(rows: DataFrame, attributed: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -234,17 +290,17 @@ def transfer_pairs(ledger: DataFrame, days: int = 1) -> DataFrame:
     both = Window.partitionBy("_abs", "_run")
     live = placed.withColumn("_both", (F.min("amount_minor").over(both) < 0) & (F.max("amount_minor").over(both) > 0)).where("_both")
     live = live.select("_abs", "_run", "value_date", "account_id", (F.col("amount_minor") > 0).alias("credit"), "event_id", "arrival_seq")
-    return in_order(live.select("_abs", "_run", "value_date", "account_id", "credit", "event_id", "arrival_seq"), ["_abs", "_run"], ["value_date", "account_id", "arrival_seq"], lambda key: _Slim(FirstOpposite(key, days)), "debit_event_id bigint, credit_event_id bigint")
+    return in_order(live.select("_abs", "_run", "value_date", "account_id", "credit", "event_id", "arrival_seq"), ["_abs", "_run"], ["value_date", "account_id", "arrival_seq"], lambda key: _Slim(FirstOpposite(key, days), 4), "debit_event_id bigint, credit_event_id bigint")
 
 
 class _Slim:
     """Drops what only ordered the rows."""
 
-    def __init__(self, inner: FirstOpposite) -> None:
-        self.inner = inner
+    def __init__(self, inner: FirstOpposite | NearestOffer, columns: int) -> None:
+        self.inner, self.columns = inner, columns
 
     def push(self, row: tuple) -> list[tuple]:
-        return self.inner.push(row[:4])
+        return self.inner.push(row[:self.columns])
 
     def close(self) -> list[tuple]:
         return self.inner.close()

@@ -127,8 +127,8 @@ def sibling_attribution(spark, sf):
 
 
 def destination_doubt(spark, sf):
-    rows = _ledger(spark, sf).checkpoint()
-    return matching.destination_doubt(rows, matching.sibling_attribution(rows, matching.leftovers(rows)))
+    rows = _ledger(spark, sf)
+    return matching.destination_doubt(rows, matching.sibling_attribution(rows, matching.leftovers(rows).checkpoint()))
 
 
 def agreement_figures(spark, sf):

@@ -133,6 +133,24 @@ def test_rows_filed_elsewhere_raise_doubt(spark):
     assert got == [("wrong", "file", "feed", 6, 5, "right")]
 
 
+def walked(monkeypatch):
+    """The number of rows of each walk from here on."""
+    sizes, whole = [], matching.in_order
+    monkeypatch.setattr(matching, "in_order", lambda df, *rest: (sizes.append(df.count()), whole(df, *rest))[1])
+    return sizes
+
+
+def test_doubt_walks_numbers_of_a_crowded_amount(spark, monkeypatch):
+    d = date(2024, 1, 1)
+    rows = [(1000 * a + 100 * day + 10 * k + (s == "feed"), f"a{a:02}", s, d + timedelta(day), 500, "t", k) for a in range(20) for s in ("file", "feed") for day in range(3) for k in range(10)]
+    rows += [(90000 + k, "wrong", "file", d + timedelta(k % 3), 500, "t", k) for k in range(12)] + [(91000, "wrong", "feed", d, 7, "t", 0)]
+    df, sizes = spark.createDataFrame(rows, LEDGER), walked(monkeypatch)
+    got = [tuple(r) for r in matching.destination_doubt(df, matching.sibling_attribution(df, matching.leftovers(df))).collect()]
+    assert got == [("wrong", "file", "feed", 12, 12, "a00")]
+    # Pairing walks a number for each account, side and day; siblings walk what can be reached of the offers of a day.
+    assert sum(sizes) < len(rows) / 3
+
+
 def test_parts_of_an_account_fold_like_the_whole(spark):
     rng, rows = random.Random(8), []
     for i in range(400):
