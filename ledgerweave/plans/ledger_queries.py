@@ -122,8 +122,8 @@ def agreement_leftovers(spark, sf):
 
 
 def sibling_attribution(spark, sf):
-    rows = _ledger(spark, sf).checkpoint()
-    return matching.sibling_attribution(rows, matching.leftovers(rows))
+    rows = _ledger(spark, sf)
+    return matching.sibling_attribution(rows, matching.leftovers(rows).checkpoint())
 
 
 def destination_doubt(spark, sf):

@@ -151,6 +151,22 @@ def test_doubt_walks_numbers_of_a_crowded_amount(spark, monkeypatch):
     assert sum(sizes) < len(rows) / 3
 
 
+def test_all_accounts_read_the_same_offers(spark, monkeypatch):
+    rows = [(*r[:5], [r[5], None][r[0] % 7 == 0], r[6]) for r in movements(11, 420, "abcdefghijkl", "xy", (100, -100, 0), 6)]
+    df, placed = spark.createDataFrame(rows, LEDGER), {r[0]: r for r in rows}
+    left, order = matching.leftovers(df).checkpoint(), lambda r: (r[3], r[5] is not None, r[5] or "", r[0])
+    asks = [(r.account_id, r.side, "y" if r.side == "x" else "x", r.event_id) for r in left.collect()]
+    fits = lambda p, q: (abs((p[3] - q[3]).days), p[4] != q[4]) if p[4] == q[4] and abs((p[3] - q[3]).days) <= 2 or p[4] == -q[4] and abs((p[3] - q[3]).days) <= 1 else None
+    want = set()
+    for account, side, other in {a[:3] for a in asks}:
+        pool = sorted((r for r in rows if r[1] != account and r[2] == other), key=order)
+        pairs, alone, _ = take_nearest(sorted((placed[a[3]] for a in asks if a[:3] == (account, side, other)), key=order), pool, fits)
+        want |= {(account, side, other, p[0], q[0], q[1], p[4] != q[4]) for p, q in pairs} | {(account, side, other, p[0], None, None, None) for p in alone}
+    sizes = walked(monkeypatch)
+    assert {tuple(r) for r in matching.sibling_attribution(df, left).collect()} == want and len(want) == len(asks) > 50
+    assert len({a[0] for a in asks}) > 9 and sum(sizes) <= len(rows) + len(asks)
+
+
 def test_parts_of_an_account_fold_like_the_whole(spark):
     rng, rows = random.Random(8), []
     for i in range(400):
